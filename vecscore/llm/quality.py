@@ -25,37 +25,41 @@ MARK_RUNS = r"!!+|\?\?+|[#*$%&<>=~^_]{2,}"
 MIN_MARK_RUNS = 3
 MARKS = r"[^\p{L}\p{M}\p{N}\s]"
 MAX_MARKS_PERCENT = 25
-#: Words of page furniture. A line with any of these and no more than BOILERPLATE_WORDS words is boilerplate.
+#: What a line must hold before the rules on marks can fail it.
+SUSPECT = r"[|»›•·#*$%&<>=~^_@+/{}\[\]\\]|[!?.,;:\-\"'()]{2}"
+#: Words of page furniture. A line with any of these and no more than BOILERPLATE_CHARS characters is boilerplate.
 BOILERPLATE = r"(?i)\b(?:cookies?|javascript|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|click here|read more|share this|copyright|skip to content)\b"
-BOILERPLATE_WORDS = 25
+BOILERPLATE_CHARS = 160
 
 
 def line_verdict(line: Column) -> Column:
-    """The rule that line fails, or null."""
+    """The rule that line fails, or null. Only lines with a suspect mark are held against the rules on marks, and only short ones against boilerplate."""
     marks = F.regexp_count(line, F.lit(MARKS))
-    return (
-        F.when(F.regexp_count(line, F.lit(SEPARATORS)) >= MIN_SEPARATORS, F.lit("navigation"))
-        .when((F.regexp_count(line, F.lit(MARK_RUNS)) >= MIN_MARK_RUNS) | (marks * 100 > F.length(line) * MAX_MARKS_PERCENT), F.lit("punctuation"))
-        .when(line.rlike(BOILERPLATE) & (F.size(F.split(line, SPACE + "+")) <= BOILERPLATE_WORDS), F.lit("boilerplate"))
-    )
+    bad_marks = (F.regexp_count(line, F.lit(MARK_RUNS)) >= MIN_MARK_RUNS) | (marks * 100 > F.length(line) * MAX_MARKS_PERCENT)
+    by_marks = F.when(F.regexp_count(line, F.lit(SEPARATORS)) >= MIN_SEPARATORS, F.lit("navigation")).when(bad_marks, F.lit("punctuation"))
+    short = F.length(line) <= BOILERPLATE_CHARS
+    return F.coalesce(F.when(line.rlike(SUSPECT), by_marks), F.when(short & line.rlike(BOILERPLATE), F.lit("boilerplate")))
 
 
-def word_chars(text: Column) -> Column:
-    return (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long")
+def word_chars(found: Column) -> Column:
+    return F.length(F.array_join(found, "")).cast("long")
 
 
 def repeated_words(df: DataFrame, word_col: str, out: str) -> DataFrame:
     """df with the number of words that lie in a window of WINDOW words found twice or more in the same row."""
-    names = [f"__{out}_{k}" for k in ("hash", "window", "sorted", "at")]
-    h, w, s, at = (F.col(n) for n in names)
+    names = [f"__{out}_{k}" for k in ("hash", "two", "four", "window", "sorted", "at")]
+    h, two, four, w, s, at = (F.col(n) for n in names)
+    n = F.size(h)
+    mix = lambda a, b: F.xxhash64(a, b)
     df = df.withColumn(names[0], F.transform(word_col, lambda x: F.xxhash64(x)))
-    window = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    df = df.withColumn(names[1], F.when(F.size(h) > WINDOW, window))
-    # most texts repeat no window; only the others are sorted
+    df = df.withColumn(names[1], F.when(n > WINDOW, F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), mix)))
+    df = df.withColumn(names[2], F.zip_with(F.slice(two, F.lit(1), n - 3), F.slice(two, F.lit(3), n - 3), mix))
+    # a window found twice holds four words found twice; most texts have none, and only the others go on
+    df = df.withColumn(names[3], F.when(F.size(F.array_distinct(four)) < F.size(four), F.zip_with(F.slice(four, F.lit(1), n - 4), F.slice(h, F.lit(5), n - 4), mix)))
     order = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn(names[2], F.when(F.size(F.array_distinct(w)) < F.size(w), order))
+    df = df.withColumn(names[4], F.when(F.size(F.array_distinct(w)) < F.size(w), order))
     twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-    df = df.withColumn(names[3], F.sort_array(F.transform(twice, lambda x: x["i"])))
+    df = df.withColumn(names[5], F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")))
     return df.withColumn(out, F.coalesce(covered["n"], F.lit(0)).cast("long")).drop(*names)
 
@@ -66,12 +70,13 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.withColumn("__words", words(text)).withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = repeated_words(df, "__words", "n_repeat_words")
     df = df.withColumn("n_words", F.size("__words").cast("long"))
-    df = df.withColumn("word_chars", word_chars(text)).withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
+    df = df.withColumn("word_chars", word_chars(F.col("__words"))).withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     df = df.withColumn("__good", F.filter("__lines", lambda x: line_verdict(x).isNull()))
     df = df.withColumn("cleaned_text", F.array_join("__good", "\n"))
-    df = df.withColumn("lost_chars", F.col("word_chars") - word_chars(F.col("cleaned_text")))
+    left = word_chars(words(F.col("cleaned_text")))
+    df = df.withColumn("lost_chars", F.when(F.size("__good") < F.size("__lines"), F.col("word_chars") - left).otherwise(0).cast("long"))
     df = df.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_failed_lines", (F.size("__lines") - F.size("__good")).cast("long"))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOSS_PERCENT)
     return df.withColumn("kept", kept).drop("__words", "__lines", "__good")
