@@ -4,17 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecscore.llm import exact_dedup, quality
+from pyspark.sql import functions as F
+
+from vecscore.llm import chat_format, exact_dedup, mixing, quality, url_filter
 from vecscore.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+#: What both turns of the added conversation say.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], rows.schema)
+    records = chat_format.from_rows(rows.unionByName(hard))
+    out = chat_format.format_chats(chat_format.canonical_turns(records))
+    out = out.withColumn("pieces", chat_format.split_turns(F.col("formatted")))
+    turns = F.transform("pieces", chat_format.read_turn)
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: chat_format.unescape(F.substring(F.get("pieces", s["turn"]), s["inside"] + 1, s["length"]))), "")
+    return out.withColumn("loss", loss).select(
+        "conv_id",
+        F.size("pieces").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes", "n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op5_mix_sources, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
