@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +74,11 @@ def lower_az(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of text, as array<string>; null text gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def kept(name: str, make: Callable):
+    """What make() gives, made once in each Python worker and kept for its later tasks. Functions that travel by value have module variables of their own in each task, so this is kept in a module."""
+    state = sys.modules.setdefault("vecscore_worker_state", types.ModuleType("vecscore_worker_state")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]

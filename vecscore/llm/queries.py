@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vecscore.llm import chat_format, exact_dedup, mixing, quality, url_filter
+from vecscore.llm import chat_format, exact_dedup, mixing, packing, quality, url_filter
 from vecscore.llm.common import table
 
 
@@ -45,9 +45,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes", "n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op5_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op5_mix_sources, op6_packing, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
