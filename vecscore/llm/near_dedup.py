@@ -63,7 +63,8 @@ class Shingler:
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
 
-    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The hashes of all words, and where each text's end."""
         data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
         self._grow(len(data) + 1)
         space = _SPACE[data]
@@ -72,8 +73,10 @@ class Shingler:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SIGN[data] * self.power[: len(data)])])
         word = (total[end] - total[start]) * self.inverse[start]
         word = _mix(word + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        bounds = np.cumsum([len(t) + 1 for t in texts])
-        last = np.searchsorted(start, bounds).tolist()
+        return word, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])).tolist()
+
+    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
+        word, last = self._words(texts)
         joined = word.copy()
         for k in range(1, self.words):
             joined = _mix(joined[: len(joined) - 1] * np.uint64(3) + word[k:]) if len(joined) else joined
@@ -91,17 +94,28 @@ class Shingler:
             a = z
         return out
 
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the hashes of its words and how often each is in it."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in self._slices(texts):
+            word, last = self._words(part)
+            out += [np.unique(word[a:z], return_counts=True) for a, z in zip([0, *last[:-1]], last, strict=True)]
+        return out
+
+    def _slices(self, texts: list[bytes | None]) -> Iterator[list[bytes]]:
         part: list[bytes] = []
         size = 0
         for t in texts:
             part.append(t or b"")
             size += len(part[-1]) + 1
             if size >= SLICE:
-                out += self._some(part)
+                yield part
                 part, size = [], 0
-        return out + (self._some(part) if part else [])
+        if part:
+            yield part
+
+    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        return [own for part in self._slices(texts) for own in self._some(part)]
 
 
 def frequent(docs: DataFrame, words: int = WORDS, heavy: int = HEAVY) -> np.ndarray:

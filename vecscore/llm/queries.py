@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vecscore.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality, repeats, url_filter
+from vecscore.llm import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, repeats, url_filter, weak_labels
 from vecscore.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.weak_label_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -67,5 +75,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes", "n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op5_mix_sources, op6_packing, op7_near_dedup, op9_remove_repeats, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op4_line_dedup, op5_mix_sources, op6_packing, op7_near_dedup, op8_weak_labels, op9_remove_repeats, op10_exact_dedup)
+}
 ORACLES: dict[str, str] = {}
