@@ -46,15 +46,16 @@ def check_percent(passes: Column, fails: Column) -> Column:
 
 def trimmed(x: Column, digits: int) -> Column:
     """x with digits decimals, without zeros at the end."""
+    x = F.floor(x * 10**digits + 0.5) / 10**digits
     return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def humanize_bytes(n: Column) -> Column:
     """Bytes in steps of 1000, at one decimal below ten; under ten bytes as they are."""
     step = F.when(n < 10, 0).otherwise(F.least(F.floor(F.log10(n.cast("double") + 0.5) / 3), F.lit(4)))
-    value = F.round(n / F.pow(F.lit(1000.0), step) * 10) / 10
+    value = F.floor(n / F.pow(F.lit(1000.0), step) * 10 + 0.5) / 10
     unit = F.element_at(F.array(*map(F.lit, ["B", "kB", "MB", "GB", "TB"])), (step + 1).cast("int"))
-    return F.when(n < 10, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value)), F.lit(" "), unit))
+    return F.when(n < 10, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.format_string("%d", F.floor(value + 0.5))), F.lit(" "), unit))
 
 
 def humanize_duration(ms: Column) -> Column:

@@ -68,7 +68,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("is_online", "card_present", c("km_home").alias("km_from_home")).alias("terminal"),
         last.alias("last_transaction"),
     )
-    return transactions(spark, sf_dir).select("event_id", F.to_json(request).alias("json"))
+    return transactions(spark, sf_dir).select("event_id", F.to_json(request, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("json"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

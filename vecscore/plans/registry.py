@@ -502,14 +502,14 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = "CASE WHEN n < 10 THEN 0 ELSE least(floor(log10(CAST(n AS DOUBLE) + 0.5) / 3), 4) END"
 
 
-@query("humanize_bytes", f"WITH b AS (SELECT event_id, event_id * event_id * 7 AS n FROM events), s AS (SELECT *, {_STEP} AS step FROM b), v AS (SELECT *, round(n / pow(1000.0, step) * 10) / 10 AS value FROM s) SELECT event_id, CASE WHEN n < 10 THEN CAST(n AS VARCHAR) || ' B' ELSE CASE WHEN value < 10 THEN printf('%.1f', value) ELSE printf('%.0f', value) END || ' ' || ['B', 'kB', 'MB', 'GB', 'TB'][CAST(step AS INTEGER) + 1] END AS shown FROM v")
+@query("humanize_bytes", f"WITH b AS (SELECT event_id, event_id * event_id * 7 AS n FROM events), s AS (SELECT *, {_STEP} AS step FROM b), v AS (SELECT *, floor(n / pow(1000.0, step) * 10 + 0.5) / 10 AS value FROM s) SELECT event_id, CASE WHEN n < 10 THEN CAST(n AS VARCHAR) || ' B' ELSE CASE WHEN value < 10 THEN printf('%.1f', value) ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) END || ' ' || ['B', 'kB', 'MB', 'GB', 'TB'][CAST(step AS INTEGER) + 1] END AS shown FROM v")
 def humanize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") * F.col("event_id") * 7
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", evaluate.humanize_bytes(n).alias("shown"))
 
 
 _TRIM = "regexp_replace(regexp_replace({0}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
-_DUR = "CASE WHEN ms = 0 THEN '0s' WHEN ms < 1000 THEN " + _TRIM.format("printf('%.2f', ms)") + " || 'ms' WHEN ms < 60000 THEN " + _TRIM.format("printf('%.2f', ms / 1000)") + " || 's' WHEN ms < 3600000 THEN printf('%dm%ds', CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) ELSE printf('%dh%dm%ds', CAST(floor(ms / 3600000) AS BIGINT), CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) END"
+_DUR = "CASE WHEN ms = 0 THEN '0s' WHEN ms < 1000 THEN " + _TRIM.format("printf('%.2f', floor(ms * 100 + 0.5) / 100)") + " || 'ms' WHEN ms < 60000 THEN " + _TRIM.format("printf('%.2f', floor(ms / 1000 * 100 + 0.5) / 100)") + " || 's' WHEN ms < 3600000 THEN printf('%dm%ds', CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) ELSE printf('%dh%dm%ds', CAST(floor(ms / 3600000) AS BIGINT), CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) END"
 
 
 @query("humanize_duration", f"SELECT event_id, {_DUR} AS shown FROM (SELECT event_id, CAST(event_id * event_id AS DOUBLE) / 4 AS ms FROM events) x WHERE ms = 0 OR ms >= 1")
