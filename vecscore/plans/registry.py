@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from vecscore.operators.rules import holds, with_rule
 from vecscore.plans import evaluate, fixtures
 from vecscore.plans import score as scoring
 from vecscore.sources import ingest
+from vecscore.sources.tables import fresh_path, written
 from vecscore.streaming.stream import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,21 +131,6 @@ def _double(x, name: str):
     return F.round(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"), 6).alias(name)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share, for what is read more than once."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
-    path = f"{base.rstrip('/')}/vecscore-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _local_dir() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="vecscore-")
-
-
 # --- parsing and features -------------------------------------------------------------------------------------------------------
 
 
@@ -201,7 +186,7 @@ def unknown_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unknown_merchant_anti", f"WITH {_TX} SELECT event_id, merchant_id FROM tx WHERE {_UNKNOWN}")
 def unknown_merchant_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = _written(fixtures.transactions(spark, sf_dir).select("event_id", "merchant_id", "known_merchants"))
+    tx = written(fixtures.transactions(spark, sf_dir).select("event_id", "merchant_id", "known_merchants"))
     known = tx.select("event_id", F.explode(F.slice("known_merchants", 1, S.KNOWN_MERCHANTS)).alias("merchant_id"))
     return tx.select("event_id", "merchant_id").join(known, ["event_id", "merchant_id"], "left_anti")
 
@@ -230,7 +215,7 @@ def quantize_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled vectors, written as a JSON array of records and read back."""
     v = fixtures.features(spark, sf_dir).select(F.array(*[f"v{d}" for d in D]).alias("vector"), F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("label"))
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _local_dir()).rstrip('/')}/vecscore-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     v.write.option("compression", "gzip").json(path)
     rows = spark.read.schema("vector ARRAY<FLOAT>, label STRING").json(path)
     back = rows.select(*[ingest.quantised(F.get("vector", F.lit(d))).alias(f"q{d}") for d in D], (F.col("label") == "fraud").alias("is_fraud"))
@@ -268,29 +253,29 @@ for _rule, _verdict, _conditions in S.RULES:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors, centroids = kmeans.build(_written(fixtures.vectors(spark, sf_dir)))
-    return _written(vectors), centroids
+    vectors, centroids = kmeans.build(written(fixtures.vectors(spark, sf_dir)))
+    return written(vectors), centroids
 
 
 @query("kmeans_init", f"WITH {_VEC}, {_INIT} SELECT cell_id, {_LIST(C)} FROM k0")
 def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.first_centroids(_written(fixtures.vectors(spark, sf_dir)))
+    return kmeans.first_centroids(written(fixtures.vectors(spark, sf_dir)))
 
 
 @query("kmeans_assign", f"WITH {_VEC}, {_INIT}, {_assign(0)} SELECT vec_id, cell_id FROM a0")
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _written(fixtures.vectors(spark, sf_dir))
+    v = written(fixtures.vectors(spark, sf_dir))
     return kmeans.assign(v, kmeans.centroid_array(kmeans.first_centroids(v))).select("vec_id", "cell_id")
 
 
 @query("kmeans_iter1", f"WITH {_KM1} SELECT cell_id, {_LIST(C)} FROM k1")
 def kmeans_iter1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.build(_written(fixtures.vectors(spark, sf_dir)), iterations=1)[1]
+    return kmeans.build(written(fixtures.vectors(spark, sf_dir)), iterations=1)[1]
 
 
 @query("kmeans_3iter", f"WITH {_KM3} SELECT cell_id, {_LIST(C)} FROM k3")
 def kmeans_3iter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.build(_written(fixtures.vectors(spark, sf_dir)))[1]
+    return kmeans.build(written(fixtures.vectors(spark, sf_dir)))[1]
 
 
 @query("inverted_lists", f"WITH {_INDEX} SELECT vec_id, cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1 AS pos FROM idx")
@@ -330,7 +315,7 @@ def cell_fraud_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_roundtrip", f"WITH {_INDEX} SELECT cell_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(q0) AS BIGINT) AS sum_q0 FROM idx GROUP BY 1")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _local_dir()).rstrip('/')}/vecscore-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     ingest.write_index(*_index(spark, sf_dir), path)
     v, _ = ingest.read_index(spark, path)
     return v.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"), F.sum(F.col("q0").cast("bigint")).alias("sum_q0"))
@@ -345,26 +330,26 @@ def _queries(v: DataFrame) -> DataFrame:
 
 @query("l2_distance", f"WITH {_VEC}, {_INIT} SELECT v.vec_id, CAST({_distance('v', 'k')} AS BIGINT) AS distance FROM vec v, k0 k WHERE k.cell_id = 0")
 def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _written(fixtures.vectors(spark, sf_dir))
+    v = written(fixtures.vectors(spark, sf_dir))
     first = kmeans.centroid_array(kmeans.first_centroids(v, S.CELLS))[0][1]
     return v.select("vec_id", *Q, *[F.lit(x).cast("bigint").alias(c) for c, x in zip(C, first, strict=True)]).select("vec_id", squared_distance().alias("distance"))
 
 
 @query("knn_brute_force", f"WITH {_VEC}, {_BRUTE} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS BIGINT) AS distance, is_fraud FROM exact")
 def knn_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _written(fixtures.vectors(spark, sf_dir))
+    v = written(fixtures.vectors(spark, sf_dir))
     return knn.exact_knn(_queries(v), v)
 
 
 @query("knn_vote", f"WITH {_VEC}, {_BRUTE} SELECT query_id, CAST(sum(CAST(is_fraud AS INTEGER)) AS INTEGER) AS fraud_count FROM exact GROUP BY 1")
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _written(fixtures.vectors(spark, sf_dir))
+    v = written(fixtures.vectors(spark, sf_dir))
     return knn.votes(_queries(v), knn.exact_knn(_queries(v), v))
 
 
 @query("knn_topk_single", f"WITH {_VEC}, q AS (SELECT * FROM vec WHERE vec_id = 1) SELECT v.vec_id, CAST({_distance('q', 'v', 'q', 'q')} AS BIGINT) AS distance FROM q, vec v ORDER BY 2, 1 LIMIT {S.K}")
 def knn_topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _written(fixtures.vectors(spark, sf_dir))
+    v = written(fixtures.vectors(spark, sf_dir))
     own = v.filter("vec_id = 1").select(*Q).first()
     near = v.select("vec_id", *Q, *[F.lit(int(own[q])).cast("bigint").alias(c) for q, c in zip(Q, C, strict=True)]) if own else v.limit(0).select("vec_id", *Q, *[F.col(q).alias(c) for q, c in zip(Q, C, strict=True)])
     return near.select("vec_id", squared_distance().alias("distance")).orderBy("distance", "vec_id").limit(S.K)
@@ -390,7 +375,7 @@ _ivf(8)
 @query("ivf_recall", f"WITH {_INDEX}, {_search(_SAMPLED, 8)}, {_BRUTE.replace('qs AS', 'qs2 AS').replace('FROM qs q', 'FROM qs2 q')} SELECT count(*) AS found, (SELECT count(*) FROM exact) AS wanted FROM near JOIN exact ON near.query_id = exact.query_id AND near.vec_id = exact.vec_id WHERE near.rank <= {S.K}")
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = _index(spark, sf_dir)
-    exact = _written(knn.exact_knn(_queries(v), v).select("query_id", "vec_id"))
+    exact = written(knn.exact_knn(_queries(v), v).select("query_id", "vec_id"))
     near = knn.ivf_neighbours(_queries(v), v, c, nprobe=8).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
 
@@ -426,7 +411,7 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_score", f"WITH {_DECIDED} SELECT event_id, rule_id, fraud_count, approved, fraud_score FROM decided")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = _index(spark, sf_dir)
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or _local_dir()).rstrip('/')}/vecscore-{uuid.uuid4().hex}"
+    base = fresh_path(spark)
     fixtures.requests(spark, sf_dir).write.parquet(f"{base}/requests")
     score_stream(spark, f"{base}/requests", f"{base}/scores", f"{base}/state", v, c)
     return spark.read.parquet(f"{base}/scores").drop("batch")

@@ -9,6 +9,7 @@ from vecscore.functions.features import with_features, with_quantised
 from vecscore.functions.schema import K, NPROBE
 from vecscore.operators.knn import Q, ivf_neighbours, votes
 from vecscore.operators.rules import with_rule
+from vecscore.sources.tables import written
 
 
 def decision(fraud_count: Column) -> tuple[Column, Column]:
@@ -23,7 +24,8 @@ def response_json(fraud_count: Column) -> Column:
 
 def score(tx: DataFrame, vectors: DataFrame, centroids: DataFrame, id_col: str = "event_id", k: int = K, nprobe: int = NPROBE) -> DataFrame:
     """tx: as parse_requests() gives, with id_col. id_col, rule_id, fraud_count, approved, fraud_score. Rules come first; only what they leave open is searched."""
-    ruled = with_quantised(with_rule(with_features(tx))).select(F.col(id_col).alias("query_id"), "rule_id", "verdict", *Q)
+    # read three times below, so computed once
+    ruled = written(with_quantised(with_rule(with_features(tx))).select(F.col(id_col).alias("query_id"), "rule_id", "verdict", *Q))
     queries = ruled.filter("verdict = 'Borderline'").select("query_id", *Q)
     searched = votes(queries, ivf_neighbours(queries, vectors, centroids, k, nprobe))
     by_rule = F.when(F.col("verdict") == "Legit", 0).when(F.col("verdict") == "Fraud", 5)
