@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vecscore.llm import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, repeats, url_filter, weak_labels
+from vecscore.llm import chat_format, exact_dedup, line_dedup, mixing, near_dedup, oracles, packing, quality, repeats, url_filter, weak_labels
 from vecscore.llm.common import table
 
 
@@ -79,4 +79,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filter, op2_quality_rules, op3_chat_format, op4_line_dedup, op5_mix_sources, op6_packing, op7_near_dedup, op8_weak_labels, op9_remove_repeats, op10_exact_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_quality_rules": oracles.rules(), "op3_chat_format": oracles.chat(HARD_TEXT), "op4_line_dedup": oracles.lines(), "op10_exact_dedup": oracles.EXACT}
