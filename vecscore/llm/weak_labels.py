@@ -144,7 +144,7 @@ def weak_label_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     limit = parts if total <= train else int(parts * train / total)
     sample = voted.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < limit).limit(train)
     rows = sample.select("votes", "text").mapInArrow(featurise, "votes string, at array<bigint>, x array<double>").toArrow()
-    pairs = [(np.array(a), np.array(x)) for a, x in zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)]
+    pairs = [(np.array(a, np.int64), np.array(x, np.float64)) for a, x in zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)]
     weights = fit_scorer(pairs, np.array([by_votes[v] for v in rows["votes"].to_pylist()]), bits)
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), by_votes))
 
