@@ -30,7 +30,7 @@ from vecscore.llm.common import written
 
 WORDS, PERCENT = 3, 90
 #: The longest list of frequent shingles that is broadcast, and how often one must be in a batch to be counted.
-HEAVY, BATCH_COUNT = 100_000, 4
+HEAVY, BATCH_COUNT = 1_000_000, 3
 SLICE = 1 << 20
 
 _rng = np.random.default_rng(20260102)
@@ -169,41 +169,57 @@ def prefixes(docs: DataFrame, order: np.ndarray, words: int = WORDS, percent: in
     return docs.select("doc_id", "text").mapInArrow(run, BASE)
 
 
+#: Bytes of a shingle's hash that are compared within a pair of documents, and members of a pivot in one task.
+COMPARED, MEMBERS = 5, 2000
+
+
+def _packed(s: np.ndarray) -> bytes:
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :COMPARED]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // COMPARED, 8), np.uint8)
+    out[:, :COMPARED] = np.frombuffer(raw, np.uint8).reshape(-1, COMPARED)
+    return np.sort(out.reshape(-1).view(np.int64))
+
+
 def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b (ids). Those whose sets are alike enough. The texts move once, the set of each b once a pair; a frequent a is split between tasks like any skewed join."""
+    """pairs: a, b (ids), each once. Those whose sets are alike enough. The texts move once, then the set of each b once a pair, to where the set of its a is; a pivot with more than MEMBERS is dealt to several tasks, each with a copy of its set."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            out: tuple[list, list, list] = [], [], []
+            out: tuple[list, list, list, list] = [], [], [], []
             for name, own, s in zip(b.column("doc_id").to_pylist(), b.column("pivots").to_pylist(), shingler.sets(b.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                raw = s.tobytes()
-                for a in own:
-                    for column, v in zip(out, (name if a is None else a, None if a is None else name, raw), strict=True):
+                raw = _packed(s)
+                for want in own:
+                    member = want["pivot"] is not None
+                    for column, v in zip(out, (want["pivot"] if member else name, want["salt"], name if member else None, raw), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["a", "b", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "b", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        pivot, x = None, np.zeros(0, np.int64)
+        for batch in batches:
             hits: tuple[list, list] = [], []
-            for i, j, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    hits[0].append(i)
-                    hits[1].append(j)
+            for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
+                y = _unpacked(raw)
+                if b is None:
+                    pivot, x = a, y
+                elif a == pivot and len(x) and len(y):
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        hits[0].append(a)
+                        hits[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()) for h in hits], names=["a", "b"])
 
-    wanted = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot")).unionByName(pairs.select(F.col("a").alias("doc_id")).distinct().withColumn("pivot", F.lit(None).cast("long")))
-    # a null pivot asks for the document's own set as a pivot's; collect_list drops nulls, so it travels in a struct
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pivot")).alias("p")).select("doc_id", F.transform("p", lambda x: x["pivot"]).alias("pivots"))
-    sets = written(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(shingle, "a bigint, b bigint, shingles binary"), "sets")
-    left = sets.filter("b is null").select("a", F.col("shingles").alias("x"))
-    right = sets.filter("b is not null").select("a", "b", F.col("shingles").alias("y"))
-    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(sizes, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.hash("b"), F.col("parts")).alias("salt"))
+    own = sizes.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    wanted = written(members.unionByName(own).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "salt")).alias("pivots")), "wanted")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(shingle, "a bigint, salt int, b bigint, shingles binary")
+    dealt = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return written(dealt.mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,8 +244,10 @@ def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heav
     nodes = written(ids.join(groups, ["n", "h1", "h2"]).select("node", "n", "s1", "s2", "g"), "nodes")
     heads = nodes.filter("node = g").select(F.col("node").alias("doc_id"), "g")
     posted = base.select("doc_id", "n", "prefix").join(heads, "doc_id").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    # size and place in one number: a row of an exchange is as many words as it has columns
+    posted = posted.select("token", "g", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
     met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    posted = written(posted.join(met, "token", "left_semi"), "posted")
+    posted = written(posted.join(met, "token", "left_semi").select("token", "g", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos")), "posted")
     score = posted.groupBy("g").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
     scored = posted.join(score, "g")
     best = F.max(F.struct("score", (-F.col("g")).alias("minus"), "n", "pos")).alias("p")
@@ -244,7 +262,7 @@ def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heav
     members = nodes.select("g", F.col("node").alias("b"))
     own = members.filter("g <> b").select(F.col("g").alias("a"), "b")
     tested = written(star.join(members, "g").select("a", "b").unionByName(own).distinct(), "tested")
-    edges = written(verify(docs, tested, words, percent), "links")
+    edges = verify(docs, tested, words, percent)
     found = components(edges)
 
     placed_nodes = written(nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "n", "g", F.coalesce("component", "node").alias("component")), "placed")
@@ -263,7 +281,7 @@ def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heav
     more = more.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").distinct()
     more = written(more, "more")
     if not more.isEmpty():
-        extra = written(verify(docs, more, words, percent), "extra")
+        extra = verify(docs, more, words, percent)
         if not extra.isEmpty():
             found = components(edges.unionByName(extra))
     rows = base.select("doc_id", "n", "s1", "s2").join(nodes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left")
