@@ -91,4 +91,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that pass, whole and with their own columns."""
     found = judge(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("text")))
-    return found.filter("kept").select("__row.*")
+    # a filter on kept would be pushed below all of judge()'s steps, each copied into the next; none is pushed below a generator
+    kept = F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row")
+    return found.select(kept).filter("__row is not null").select("__row.*")
