@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vecscore.llm.common import words
 from vecscore.llm.near_dedup import Shingler
 
-#: How many documents train the scorer, at most; the bits of a feature; the score that keeps a document.
+#: How many documents train the scorer (of a larger corpus, those whose hash falls into this share of it); the bits of a feature; the score that keeps a document.
 TRAIN, BITS, KEEP = 8192, 18, 0.5
 STEPS, RATE, DECAY = 150, 8.0, 1e-5
 
@@ -32,13 +32,16 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """The votes on text, which must not be null: 1, 0 or -1."""
-    n = F.size(words(text))
+def line_list(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def labellers(text: Column, found: Column, lines: Column) -> dict[str, Column]:
+    """The votes on text, which must not be null, by its words and its lines with a word: 1, 0 or -1."""
+    n = F.size(found)
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(n, F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"')»”][\x20\x09-\x0D]*\z"))) / F.greatest(F.size(lines), F.lit(1))
-    distinct = F.size(F.array_distinct(words(text))) / F.greatest(n, F.lit(1))
+    distinct = F.size(F.array_distinct(found)) / F.greatest(n, F.lit(1))
     vote = lambda bad, good: F.when(bad, 0).when(good, 1).otherwise(-1)
     # without its kind of junk, such a labeller knows nothing of the others
     only_bad = lambda bad: F.when(bad, 0).otherwise(-1)
@@ -127,8 +130,9 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bi
 def weak_label_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: int = TRAIN, bits: int = BITS, keep: float = KEEP) -> DataFrame:
     """A row for each document: doc_id, votes, posterior (of its votes), score (of the scorer), kept."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    votes = labellers(F.col("text"))
-    voted = slim.withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in votes.values()]))
+    votes = labellers(F.col("text"), F.col("words"), F.col("lines"))
+    voted = slim.withColumn("words", words(F.col("text"))).withColumn("lines", line_list(F.col("text")))
+    voted = voted.select("doc_id", "text", F.concat_ws(",", *[v.cast("string") for v in votes.values()]).alias("votes"))
     counted = voted.groupBy("votes").count().toPandas()
     total = int(counted["count"].sum())
     patterns = np.array([list(map(int, v.split(","))) for v in counted["votes"]], int).reshape(-1, len(votes))
@@ -142,7 +146,8 @@ def weak_label_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     parts = 1 << 20
     limit = parts if total <= train else int(parts * train / total)
-    sample = voted.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < limit).limit(train)
+    # the sample is drawn before votes are cast, so only its own rows are voted on again
+    sample = voted.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < limit)
     rows = sample.select("votes", "text").mapInArrow(featurise, "votes string, at array<bigint>, x array<double>").toArrow()
     pairs = [(np.array(a, np.int64), np.array(x, np.float64)) for a, x in zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)]
     weights = fit_scorer(pairs, np.array([by_votes[v] for v in rows["votes"].to_pylist()]), bits)
