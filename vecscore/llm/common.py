@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -52,6 +53,10 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
         atexit.register(_clean)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     _written.append((jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())))
+    # the exchanges behind df serve nobody any more; Spark deletes their files once the driver has collected its garbage
+    del jpath
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
