@@ -16,8 +16,12 @@ _rng = np.random.default_rng(20260101)
 _SIGN = _rng.integers(1 << 63, size=256, dtype=np.uint64)
 
 
+#: Odd multipliers, one for each doubling.
+_FACTORS = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 63, size=40, dtype=np.uint64)]
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two neighbouring hashes, in place of a."""
+    """A hash of two hashes."""
     a = a * np.uint64(0x9E3779B97F4A7C15)
     a += b
     a ^= a >> np.uint64(29)
@@ -26,19 +30,25 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grain_hashes(data: np.ndarray, size: int, signs: np.ndarray = _SIGN) -> np.ndarray:
-    """The hash of the size bytes that start at each place. Sizes are made up of powers of two."""
-    power, done, out = signs[data], 0, None
-    step = 1
-    while True:
+    """The hash of the size bytes that start at each place: sums of the bytes' random values, weighted by place modulo 2 ** 64, and mixed at the end. Doubling makes the hashes of powers of two, which are put together for size."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, done, step, out = signs[data], 0, 1, None
+    for factor in _FACTORS:
         if size & step:
-            out = power if out is None else combine(out[: len(out) - step] if len(out) > step else out[:0], power[done:])
-            if out is not None and len(out) > len(data) - done - step + 1:
-                out = out[: len(data) - done - step + 1]
+            part = power[done : done + n]
+            out = part.copy() if out is None else out * factor + part
             done += step
         if done == size:
-            return out
-        power = combine(power[: len(power) - step] if len(power) > step else power[:0], power[step:])
-        step *= 2
+            break
+        left = power[:-step] * factor
+        left += power[step:]
+        power, step = left, 2 * step
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,15 +61,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def runs(data: np.ndarray, window: int, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of at least window bytes: each run's first window, last window, key, and whether it holds tied grains (so that it may hold a window twice by itself)."""
+def runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int, grain: int = GRAIN) -> tuple[np.ndarray, ...]:
+    """Of texts that lie in data from begins to ends, in order: each run's first window, last window, key, whether it holds tied grains (so that it may hold a window twice by itself), its anchor's place (if it has no ties, the only grain with its key), and the number of its text. And the hashes of all grains. No run crosses a text's end."""
     width = window - grain + 1
     h = grain_hashes(data, grain)
+    if len(h) < width:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, bool), none, none, h
     low = np.arange(len(h), dtype=np.uint64) & _LOW
-    h |= _LOW
-    least = sliding_min(h ^ low, width)
-    other = sliding_min((h ^ _LOW) | low, width)
-    tied = (least & _LOW) != (other & _LOW ^ _LOW)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
-    return first, last, (least[first] >> np.uint64(9)).astype(np.int64), np.logical_or.reduceat(tied, first)
+    packed = h | _LOW
+    packed ^= low
+    least = sliding_min(packed, width)
+    packed ^= _LOW
+    other = sliding_min(packed, width)
+    # low bits are stored inverted: ties go to the last place modulo TIE in one and to the first in the other
+    own = np.full(len(least), -1, np.int64)
+    sizes = np.maximum(ends - begins - window + 1, 0)
+    at = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own[at] = np.repeat(np.arange(len(begins)), sizes)
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])]))
+    last = np.append(first[1:] - 1, len(least) - 1)
+    tied = np.logical_or.reduceat((least & _LOW) ^ _LOW != (other & _LOW), first)
+    inside = own[first] >= 0
+    first, last, tied = first[inside], last[inside], tied[inside]
+    place = first + ((((least[first] & _LOW) ^ _LOW).astype(np.int64) - first) & (TIE - 1))
+    return first, last, (least[first] >> np.uint64(9)).astype(np.int64), tied, place, own[first], h

@@ -33,6 +33,8 @@ from vecscore.llm.common import written
 from vecscore.llm.suffix_array import repeated_starts
 
 WINDOW, SHARD = 400, 2_000_000
+#: Bytes of text that are looked at together.
+SLICE = 1 << 20
 #: Ranges of the anchor's offset in a window, each with a probe.
 PROBES = 5
 END = np.uint8(255)  #: never in UTF-8
@@ -69,6 +71,9 @@ def probe_hashes(grains: np.ndarray, place: np.ndarray, window: int, grain: int)
 RUNS = "doc_id bigint, th bigint, first int, last int, key bigint, context bigint, tied boolean, place int, " + ", ".join(f"p{k} bigint" for k in range(PROBES))
 
 
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+
+
 def find_runs(docs: DataFrame, window: int = WINDOW, grain: int = anchors.GRAIN) -> DataFrame:
     """docs: doc_id, th, text. A row for each run (RUNS); a probe that no window of the run has is null."""
     step = -(-(window - grain + 1) // PROBES)
@@ -76,49 +81,27 @@ def find_runs(docs: DataFrame, window: int = WINDOW, grain: int = anchors.GRAIN)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = _texts(b.column("text"))
-            keep = np.flatnonzero(np.diff(at) >= window)
-            found: dict[str, list] = {c.split()[0]: [] for c in RUNS.split(", ")}
             ids, hashes = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("th").to_numpy()
-            for row in keep.tolist():
-                own = data[at[row] : at[row + 1]]
-                first, last, key, tied = anchors.runs(own, window, grain)
-                grains = anchors.grain_hashes(own, grain)
-                raw = memoryview(own)
-                digest = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(first.tolist(), (last + window).tolist(), strict=True)])
-                high = grains >> np.uint64(9)
-                # the anchor: the first grain of the run with its key, which ties may make another one than the packed least
-                place = _places(high, first, last, key, window - grain + 1)
-                found["doc_id"].append(np.full(len(first), ids[row]))
-                found["th"].append(np.full(len(first), hashes[row]))
-                for name, value in (("first", first), ("last", last), ("key", key), ("context", np.frombuffer(digest, np.int64)), ("tied", tied), ("place", place)):
-                    found[name].append(value)
+            row = 0
+            while row < b.num_rows:
+                # as many texts as fill a slice, one at least
+                end = max(row + 1, int(np.searchsorted(at, at[row] + SLICE)) - 1)
+                base = at[row]
+                own = data[base : at[end]]
+                first, last, key, tied, place, text, grains = anchors.runs(own, at[row:end] - base, at[row + 1 : end + 1] - base, window, grain)
+                starts = at[row:end][text] - base
+                digest = b"".join([hashlib.blake2b(own[i:j], digest_size=8).digest() for i, j in zip(first.tolist(), (last + window).tolist(), strict=True)])
+                columns = [ids[row:end][text], hashes[row:end][text], first - starts, last - starts, key, np.frombuffer(digest, np.int64), tied, place - starts]
+                arrays = [pa.array(v).cast(t) for v, t in zip(columns, KINDS, strict=True)]
                 for k, (value, inside) in enumerate(probe_hashes(grains, place, window, grain)):
                     low, top = place - (k + 1) * step + 1, place - k * step
-                    used = inside & (low <= last) & (top >= first) & ~tied
-                    found[f"p{k}"].append(pa.array(value, mask=~used))
-            if found["key"]:
-                yield pa.RecordBatch.from_arrays([_joined(v, c.split()[1]) for c, v in zip(RUNS.split(", "), found.values(), strict=True)], names=list(found))
+                    arrays.append(pa.array(value, mask=~(inside & (low <= last) & (top >= first) & ~tied)))
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in RUNS.split(", ")])
+                row = end
 
     return docs.mapInArrow(run, RUNS)
 
 
-def _joined(values: list, kind: str) -> pa.Array:
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[kind]
-    return pa.concat_arrays([v.cast(kind) if isinstance(v, pa.Array) else pa.array(v).cast(kind) for v in values])
-
-
-def _places(high: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
-    """A place with each run's key that all of the run's windows hold (if the run has no ties, its only one)."""
-    out = np.empty(len(first), np.int64)
-    for begin in range(0, len(first), 512):
-        part = slice(begin, begin + 512)
-        at = last[part, None] + np.arange(width)[None, :]
-        inside = at <= (first[part] + width - 1)[:, None]
-        hit = (high[np.minimum(at, len(high) - 1)] == key[part].astype(np.uint64)[:, None]) & inside
-        out[part] = last[part] + hit.argmax(axis=1)
-    return out
-
-
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: doc_id, th and cuts (key, context, from, to). A row for each cut: key, context, from, bytes."""
 

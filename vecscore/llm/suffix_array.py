@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Entries a bucket on average, below which a reduced string is sorted by doubling.
-LEAST_BUCKET = 12
+LEAST_BUCKET = 500
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -87,17 +87,28 @@ def _induce(text: np.ndarray, small: np.ndarray, begins: np.ndarray, ends: np.nd
 
 
 def _doubling(ranks: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ranks. A rank is the place of the first of its class; classes of one drop out of the sorting."""
     n, step = len(ranks), 1
-    ranks = ranks.astype(np.int64)
+    order = np.argsort(ranks)
+    found = ranks[order]
+    first = np.concatenate([[True], found[1:] != found[:-1]])
+    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = place
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = ranks[step:] + 1
-        key = ranks * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        if new[-1] == n - 1 or step >= n:
+        # slots of the order whose class holds more than one
+        open_slots = np.flatnonzero(~first | ~np.append(first[1:], True))
+        if not len(open_slots):
             return order
-        ranks[order] = new
+        own = order[open_slots]
+        after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[open_slots] = own
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first[open_slots] = new
+        rank[own] = np.maximum.accumulate(np.where(new, open_slots, 0))
         step *= 2
 
 
