@@ -21,7 +21,7 @@ def first_centroids(vectors: DataFrame, cells: int = CELLS, count: int | None =
     if not n:
         return vectors.sparkSession.createDataFrame([], "cell_id INT, " + ", ".join(f"{c} BIGINT" for c in C))
     wanted = vectors.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell_id"), ((F.col("id") * (n // cells)) % n).alias("vec_id"))
-    return F.broadcast(wanted).join(vectors, "vec_id").select("cell_id", *[F.col(q).cast("bigint").alias(c) for q, c in zip(Q, C, strict=True)])
+    return F.broadcast(wanted).join(vectors.select("vec_id", *Q), "vec_id").select("cell_id", *[F.col(q).cast("bigint").alias(c) for q, c in zip(Q, C, strict=True)])
 
 
 def centroid_array(centroids: DataFrame) -> list:
