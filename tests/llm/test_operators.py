@@ -138,6 +138,25 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_long_runs(spark):
+    """Runs of one or two lines count if they hold more than 50 words."""
+    line = lambda n, seed: " ".join(f"w{seed}x{k}" for k in range(n))
+    a, b, c, d, e = line(51, 0), line(50, 1), line(26, 2), line(25, 3), line(3, 4)
+    texts = [f"{a}\n{b}\nx0\n{c}\n{d}\nx1\n{a}\n{e}", a, b, f"{c}\n{d}", f"{d}\n{c}", f"{a}\ny0", f"{c}\n \n{d}\n{a}\n{e}\ny1"]
+    lines = {k: [x for x in t.split("\n") if x.strip()] for k, t in enumerate(texts)}
+    gone = {k: set() for k in lines}
+    for n in (1, 2, 3):
+        first = {}
+        for k, own in lines.items():
+            for i in range(len(own) - n + 1):
+                window = tuple(own[i : i + n])
+                if (n == 3 or len(words_of(" ".join(window))) > 50) and first.setdefault(window, (k, i)) != (k, i):
+                    gone[k].update(range(i, i + n))
+    found = by_id(line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert {k: r.n_removed for k, r in found.items()} == {k: len(v) for k, v in gone.items()} == {0: 1, 1: 1, 2: 0, 3: 2, 4: 0, 5: 1, 6: 4}
+    assert (found[6].n_runs, found[6].longest_run) == (1, 4)
+
+
 def test_whole_suffix_order_of_lines(docs):
     lines = line_dedup.line_ids(docs)
     ranks = {(r.doc_id, r.pos): (r["rank"], r.n) for r in line_dedup.suffix_ranks(lines).collect()}
