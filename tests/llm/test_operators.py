@@ -308,6 +308,14 @@ def test_repeats(docs, none, shard):
         assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_candidates_only(spark):
+    """Texts that share 395 bytes are looked at closely and lose nothing."""
+    shared = prose(200, 70).replace("\n", " ").encode()[:395].decode(errors="ignore")
+    texts = [prose(120, 71) + shared + prose(120, 72), prose(120, 73) + shared + prose(120, 74)]
+    found = by_id(repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans) for k, r in found.items()} == {k: (len(t.encode()), 0, 0) for k, t in enumerate(texts)}
+
+
 def test_urls(spark):
     urls = [None, "no url", "http://A.Example.NET/en/x?q#f", "https://example.net", "http://x.net/", "http://example.com/de/1", "http://s.example.com/de/1", "ftp://a.org/fr/", "http://a.org/fr?x", "http://fooorg/fr/", "a://b://c/d"]
     good = [f"http://{WORDS[k % 50][:4]}{k % 9}.site.com/{WORDS[k % 70]}/{k}" for k in range(200)]

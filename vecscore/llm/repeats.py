@@ -140,8 +140,9 @@ def shard_repeats(cuts: DataFrame, window: int = WINDOW, shard: int = SHARD) ->
         inside = starts + window <= begins[own] + lengths[own]
         starts, own = starts[inside], own[inside]
         out: tuple[list, list, list, list] = [], [], [], []
-        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
-        for a, z in zip(edges, [*edges[1:], len(own)], strict=True):
+        # a shard's contexts are candidates, so none of them may repeat a window
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() if len(own) else []
+        for a, z in zip(edges, [*edges[1:], len(own)] if edges else [], strict=True):
             key, context, base, _ = rows[own[a]]
             for low, high in _spans(starts[a:z] - begins[own[a]], window):
                 for column, v in zip(out, (key, context, base + low, base + high), strict=True):
