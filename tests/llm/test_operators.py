@@ -96,6 +96,18 @@ def test_quality(docs, none):
     assert quality.quality_stage(docs).columns == docs.columns
 
 
+def test_quality_marks_without_a_pre_test(spark):
+    """Lines over the share of marks fail whatever marks they hold."""
+    good = prose(54, 80)
+    bad = ["a, b, c, d, e", ". . . . . . 12", "★ ★ ★ ★ ab", "─ ─ ─ ─ ┐ x", "、 。 、 。 文", "Ti."]
+    texts = [good, *(good + "\n" + x for x in bad), good + "\n" + "\n".join(bad * 12)]
+    found = by_id(quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, x in enumerate(bad, 1):
+        assert (found[k].n_failed_lines, found[k].lost_chars) == (1, sum(map(len, words_of(x)))), x
+    assert found[0].n_failed_lines == 0 and found[0].kept
+    assert (found[7].n_failed_lines, found[7].kept) == (72, False)
+
+
 def test_chat_round_trip(spark):
     said = "\\### <|end|>\n <|a|> \\\\| |> <|"
     turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, None, None, None), (2, 0, "assi|>st<|ant", "x"), (2, 0, "assistant", ""), (2, 0, "assistant", "")]

@@ -25,7 +25,7 @@ MARK_RUNS = r"!!+|\?\?+|[#*$%&<>=~^_]{2,}"
 MIN_MARK_RUNS = 3
 MARKS = r"[^\p{L}\p{M}\p{N}\s]"
 MAX_MARKS_PERCENT = 25
-#: What a line must hold before the rules on marks can fail it.
+#: Read by the SQL of the query alone, which holds only lines with one of these against the rules on marks; the rules don't imply it.
 SUSPECT = r"[|»›•·#*$%&<>=~^_@+/{}\[\]\\]|[!?.,;:\-\"'()]{2}"
 #: Words of page furniture. A line with any of these and no more than BOILERPLATE_CHARS characters is boilerplate.
 BOILERPLATE = r"(?i)\b(?:cookies?|javascript|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|click here|read more|share this|copyright|skip to content)\b"
@@ -33,12 +33,12 @@ BOILERPLATE_CHARS = 160
 
 
 def line_verdict(line: Column) -> Column:
-    """The rule that line fails, or null. Only lines with a suspect mark are held against the rules on marks, and only short ones against boilerplate."""
+    """The rule that line fails, or null. All lines are held against the rules on marks, only short ones against boilerplate."""
     marks = F.regexp_count(line, F.lit(MARKS))
     bad_marks = (F.regexp_count(line, F.lit(MARK_RUNS)) >= MIN_MARK_RUNS) | (marks * 100 > F.length(line) * MAX_MARKS_PERCENT)
     by_marks = F.when(F.regexp_count(line, F.lit(SEPARATORS)) >= MIN_SEPARATORS, F.lit("navigation")).when(bad_marks, F.lit("punctuation"))
     short = F.length(line) <= BOILERPLATE_CHARS
-    return F.coalesce(F.when(line.rlike(SUSPECT), by_marks), F.when(short & line.rlike(BOILERPLATE), F.lit("boilerplate")))
+    return F.coalesce(by_marks, F.when(short & line.rlike(BOILERPLATE), F.lit("boilerplate")))
 
 
 def word_chars(found: Column) -> Column:
