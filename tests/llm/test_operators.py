@@ -198,6 +198,12 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_stage(docs).columns == docs.columns
 
 
+def test_mixing_takes_empty_texts_of_a_last_block(spark):
+    texts = [(k, s, t) for k, (s, t) in enumerate((s, t) for s in ("big", "small") for t in ["w " * (9 if s == "big" else 2)] * 20 + [None, "", " "] * 30)]
+    out = mixing.mix_sources(spark.createDataFrame(texts, "doc_id long, source string, text string")).filter("epoch = 0").collect()
+    assert sorted(r.doc_id for r in out) == [k for k, _, _ in texts]
+
+
 def test_tokens_are_the_library_s():
     bpe = tokens.WordBpe(tokenizer_path())
     odd = ["", " ", "<|endoftext|> hi", "ΟΔΟΣ", "日本語 x", "e\u0301 É", "a\x1cb", "it's I'LL 12a3!?", "x" * 99, "😀 ok…", "İ ǅ ﬁ ½", *[t for t in TEXTS if t]]

@@ -75,6 +75,8 @@ def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: flo
     shares = sources.select("__key", "source_tokens", (F.col("source_tokens") / F.lit(float(max(total, 1)))).alias("share"))
     live = written(shares, "shares")
     exponent, z = find_exponent(live.filter("share > 0"), entropy_share, max_repeats)
+    # the default budget uses each source once at least, so the first epoch takes all blocks, also those of empty texts after the last token
+    first = F.lit(budget is None) & (F.col("epoch") == 0)
     if budget is None:
         most = live.filter("share > 0").agg(F.max("share").alias("m")).first()["m"]
         budget = total * z * most ** (1.0 - exponent) if most else 0.0
@@ -87,7 +89,7 @@ def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: flo
     taken = blocks.join(live, "__key").withColumn("start", F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     taken = taken.withColumn("start", F.col("start") + F.col("epoch") * F.col("source_tokens"))
     room = F.col("quota") - F.col("start")
-    taken = taken.filter((room > 0) | (F.col("source_tokens") == 0)).withColumn("room", F.when(F.col("block_tokens") > room, room))
+    taken = taken.filter((room > 0) | (F.col("source_tokens") == 0) | first).withColumn("room", F.when((F.col("block_tokens") > room) & ~first, room))
     return written(taken.select("__key", "__block", "epoch", "weight", "quota", "start", "block_tokens", "room"), "plan")
 
 
