@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs in one process, as in tests, a local one; a cluster without it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _local[:] = _local or [tempfile.mkdtemp(prefix="vecscore-")]
         found = _local[0]
     return found.rstrip("/")
@@ -53,22 +56,29 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
         atexit.register(_clean)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     _written.append((jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())))
-    # the exchanges behind df serve nobody any more; Spark deletes their files once the driver has collected its garbage
-    del jpath
-    gc.collect()
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete a written table that nothing will read again."""
-    for f in df.inputFiles()[:1]:
-        parent = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        for k, (path, fs) in enumerate(_written):
-            if path.getName() == parent.getName():
-                fs.delete(path, True)
-                del _written[k]
-                break
+    parents = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
+    for path, fs in [x for x in _written if x[0].getName() in parents]:
+        fs.delete(path, True)
+        _written.remove((path, fs))
+
+
+#: Bits of the map of rows to look at.
+MAP_BITS = 1 << 23
+
+
+def suspects(docs: DataFrame, marks: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """docs whose key (a 64-bit hash) no row of marks has in its column key, and the others, a few of which are there by chance. A bitmap of MAP_BITS decides, a row for each of its 64-bit words, so what is broadcast is bounded and the first rows stay where they are."""
+    bit = lambda k: F.pmod(k, F.lit(MAP_BITS))
+    word, place = lambda k: F.shiftright(bit(k), 6), lambda k: bit(k).bitwiseAND(63).cast("int")
+    bitmap = marks.select(word(F.col("key")).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("key"))).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    found = docs.withColumn("__word", word(key)).withColumn("__place", place(key)).join(F.broadcast(written(bitmap, "bitmap")), "__word", "left")
+    hit = F.call_function("shiftright", F.coalesce("__bits", F.lit(0).cast("long")), F.col("__place")).bitwiseAND(1) == 1
+    return found.filter(~hit).select(*docs.columns), found.filter(hit).select(*docs.columns)
 
 
 def lower_az(text: Column) -> Column:
@@ -81,6 +91,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what Python makes of one stays small."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def kept(name: str, make: Callable):
     """What make() gives, made once in each Python worker and kept for its later tasks. Functions that travel by value have module variables of their own in each task, so this is kept in a module."""
     state = sys.modules.setdefault("vecscore_worker_state", types.ModuleType("vecscore_worker_state")).__dict__

@@ -15,14 +15,14 @@ import unicodedata
 
 import numpy as np
 
-#: Texts for the library: special tokens, capital sigma, control characters that str.split() takes for white space.
-HARD_TEXT = re.compile("<\\||[\x1c-\x1fΣ]")
+#: What sends a text to the library: special tokens, capital sigma, control characters that str.split() takes for white space.
+HARD_MARKS = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that are merged here.
 EASY_CHUNK = re.compile("[\x21-\x7e¡-ſ‐-…]+")
 PIECE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Chunks in the cache, and symbols of a piece that is merged here.
-CACHE, LONGEST = 300_000, 48
-NONE = np.int64(1) << 40
+#: Chunks in each half of the cache, and symbols of a piece that is merged here.
+CACHE, LONGEST = 800_000, 48
+NONE = np.int32(1 << 30)
 
 
 def byte_signs() -> list[str]:
@@ -42,21 +42,23 @@ class WordBpe:
             model = json.load(f)["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"]
         signs = byte_signs()
-        self.inner = np.array([ids[c] for c in signs], np.int64)
-        self.last = np.array([ids[c + end] for c in signs], np.int64)
+        self.inner = np.array([ids[c] for c in signs], np.int32)
+        self.last = np.array([ids[c + end] for c in signs], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int64)
-        self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.keys, self.rank = keys[order], order.astype(np.int32)
+        self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
         self.split = regex.compile(PIECE).findall
         self.kind = np.uint16 if max(ids.values()) < 1 << 16 else np.uint32
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        # an absent sign, -1, makes a key below all that occur
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NONE)
+        return np.where(self.keys[at] == key, self.rank[at], NONE)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as bytes of self.kind. The lowest merge goes first, of equal ones the leftmost."""
@@ -68,10 +70,10 @@ class WordBpe:
                 continue
             n, width = lengths[own], min(high, lengths[own].max())
             raw = np.frombuffer(b"".join(pieces[k].ljust(width, b"\0") for k in own), np.uint8).reshape(len(own), width)
-            state = np.where(np.arange(width) < n[:, None], self.inner[raw], -1)
+            state = np.where(np.arange(width) < n[:, None], self.inner[raw], np.int32(-1))
             rows = np.arange(len(own))
             state[rows, n - 1] = self.last[raw[rows, n - 1]]
-            ranks = np.concatenate([self._ranks(state[:, :-1], state[:, 1:]), np.full((len(own), 1), NONE)], axis=1)
+            ranks = np.concatenate([self._ranks(state[:, :-1], state[:, 1:]), np.full((len(own), 1), NONE, np.int32)], axis=1)
             done = np.full_like(state, -1)
             live = rows
             while len(live):
@@ -91,7 +93,7 @@ class WordBpe:
                 state, ranks = np.take_along_axis(state, source, 1), np.take_along_axis(ranks, source, 1)
                 state[gone], ranks[gone] = -1, NONE
                 state[at, best] = self.merged[low_rank]
-                nxt = np.where(best + 1 < width, state[at, np.minimum(best + 1, width - 1)], -1)
+                nxt = np.where(best + 1 < width, state[at, np.minimum(best + 1, width - 1)], np.int32(-1))
                 ranks[at, best] = self._ranks(state[at, best], nxt)
                 before = np.maximum(best - 1, 0)
                 ranks[at, before] = np.where(best > 0, self._ranks(state[at, before], state[at, best]), ranks[at, before])
@@ -109,39 +111,51 @@ class WordBpe:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        pieces: dict[str, tuple | list] = {}
+        """Adds the chunks to the cache."""
+        cache, alone, ended, others = self.cache, [], [], []
         for c in chunks:
-            if c.isascii() or EASY_CHUNK.fullmatch(c):
-                # what the splitter makes of letters alone, and of letters and one other sign
-                pieces[c] = (c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() else self.split(c)
+            if not (c.isascii() or EASY_CHUNK.fullmatch(c)):
+                cache[c] = self._library(c)
+            # what the splitter makes of letters alone, and of letters and one other sign
+            elif c.isalpha():
+                alone.append(c)
+            elif c[:-1].isalpha():
+                ended.append(c)
             else:
-                self.cache[c] = self._library(c)
-        found = list({p for own in pieces.values() for p in own}.difference(self.cache))
-        ids = dict(zip(found, self.merge([p.encode() for p in found]), strict=True))
-        known = self.cache.get
-        for c, own in pieces.items():
-            ids[c] = b"".join([ids.get(p) or known(p, b"") for p in own])
-        self.cache.update(ids)
+                others.append((c, self.split(c)))
+        wanted = set(alone).union([c[:-1] for c in ended], [c[-1] for c in ended], *(own for _, own in others))
+        found = list(wanted.difference(cache))
+        cache.update(zip(found, self.merge([p.encode() for p in found]), strict=True))
+        cache.update([(c, cache[c[:-1]] + cache[c[-1]]) for c in ended])
+        for c, own in others:
+            cache[c] = b"".join([cache[p] for p in own])
+
+    def _know(self, chunks: set[str]) -> None:
+        """Sees to it that the cache holds the chunks. A full cache becomes the older half, from which what is still in use is taken over."""
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        new = chunks.difference(self.cache)
+        if new and self.older:
+            again = new.intersection(self.older)
+            self.cache.update([(c, self.older[c]) for c in again])
+            new -= again
+        if new:
+            self._learn(new)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
-        chunks: list[list[str] | None] = []
-        for t in texts:
-            if HARD_TEXT.search(t):
-                chunks.append(None)
-                continue
-            if not t.isascii() and not unicodedata.is_normalized("NFC", t):
-                t = unicodedata.normalize("NFC", t)
-            chunks.append(t.lower().split())
         out = []
         for first in range(0, len(texts), 512):
-            part = chunks[first : first + 512]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            new = set().union(*(c for c in part if c)).difference(self.cache)
-            if new:
-                self._learn(new)
+            chunks: list[list[str] | None] = []
+            for t in texts[first : first + 512]:
+                if any(m in t for m in HARD_MARKS):
+                    chunks.append(None)
+                    continue
+                if not t.isascii() and not unicodedata.is_normalized("NFC", t):
+                    t = unicodedata.normalize("NFC", t)
+                chunks.append(t.lower().split())
+            self._know(set().union(*(c for c in chunks if c)))
             get = self.cache.__getitem__
-            for k, c in enumerate(part, first):
+            for k, c in enumerate(chunks, first):
                 out.append(np.frombuffer(b"".join(map(get, c)) if c is not None else self._library(texts[k]), self.kind))
         return out
