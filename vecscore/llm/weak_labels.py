@@ -5,8 +5,9 @@ estimates how often each labeller votes what on good and on bad documents, and f
 each pattern. A hashed linear scorer (words and word shapes) is then fitted to these posteriors on a bounded sample
 (TRAIN documents by hash) and scores every document.
 
-Votes are expressions; what is collected is one count a pattern (at most 3 ** labellers rows, over all documents) and the
-sample's features. Scoring is one scan without an exchange.
+Votes are expressions, cast once a document and written as a key and a pattern; what is collected is one count a pattern
+(at most 3 ** labellers rows, over all documents) and the sample's features. The scorer reads the texts in a second scan, and its
+scores meet the written votes by the key: two hashes of id and text, so no text is exchanged.
 
 Defined cases: null text is empty and gets the votes of an empty text; an empty table gives an empty result. Repeated rows
 count each time and are scored alike; extra columns are ignored.
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import words
+from vecscore.llm.common import slices, words, written
 from vecscore.llm.near_dedup import Shingler
 
 #: How many documents train the scorer (of a larger corpus, those whose hash falls into this share of it); the bits of a feature; the score that keeps a document.
 TRAIN, BITS, KEEP = 8192, 18, 0.5
 STEPS, RATE, DECAY = 150, 8.0, 1e-5
+LABELLERS = 10
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
@@ -130,35 +132,43 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bi
 def weak_label_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: int = TRAIN, bits: int = BITS, keep: float = KEEP) -> DataFrame:
     """A row for each document: doc_id, votes, posterior (of its votes), score (of the scorer), kept."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    votes = labellers(F.col("text"), F.col("words"), F.col("lines"))
-    voted = slim.withColumn("words", words(F.col("text"))).withColumn("lines", line_list(F.col("text")))
-    voted = voted.select("doc_id", "text", F.concat_ws(",", *[v.cast("string") for v in votes.values()]).alias("votes"))
+    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")]
+
+    def vote(rows: DataFrame, *columns: Column | str) -> DataFrame:
+        cast = rows.withColumn("words", words(F.col("text"))).withColumn("lines", line_list(F.col("text")))
+        return cast.select(*columns, F.concat_ws(",", *[v.cast("string") for v in labellers(F.col("text"), F.col("words"), F.col("lines")).values()]).alias("votes"))
+
+    voted = written(vote(slim, *keys), "votes")
     counted = voted.groupBy("votes").count().toPandas()
     total = int(counted["count"].sum())
-    patterns = np.array([list(map(int, v.split(","))) for v in counted["votes"]], int).reshape(-1, len(votes))
+    patterns = np.array([list(map(int, v.split(","))) for v in counted["votes"]], int).reshape(-1, LABELLERS)
     posterior, _ = fit_votes(patterns, counted["count"].to_numpy(float)) if total else (np.zeros(0), None)
     by_votes = dict(zip(counted["votes"], posterior.tolist(), strict=True))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = features(b.column("text").cast(pa.binary()).to_pylist(), bits)
             yield pa.RecordBatch.from_arrays([b.column("votes"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["votes", "at", "x"])
 
     parts = 1 << 20
     limit = parts if total <= train else int(parts * train / total)
     # the sample is drawn before votes are cast, so only its own rows are voted on again
-    sample = voted.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < limit)
+    sample = vote(slim.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < limit), "text")
     rows = sample.select("votes", "text").mapInArrow(featurise, "votes string, at array<bigint>, x array<double>").toArrow()
     pairs = [(np.array(a, np.int64), np.array(x, np.float64)) for a, x in zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)]
     weights = fit_scorer(pairs, np.array([by_votes[v] for v in rows["votes"].to_pylist()]), bits)
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), by_votes))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, known = shared.value
-        for b in batches:
+        w = shared.value
+        for b in slices(batches):
             sums = [float(w[at] @ x + w[-1]) for at, x in features(b.column("text").cast(pa.binary()).to_pylist(), bits)]
             p = 1 / (1 + np.exp(-np.clip(np.array(sums), -30, 30)))
-            own = [known[v] for v in b.column("votes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("votes"), pa.array(own, pa.float64()), pa.array(p, pa.float64()), pa.array(p >= keep)], names=["doc_id", "votes", "posterior", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(p, pa.float64()), pa.array(p >= keep)], names=["doc_id", "k1", "k2", "score", "kept"])
 
-    return voted.select("doc_id", "votes", "text").mapInArrow(score, "doc_id bigint, votes string, posterior double, score double, kept boolean")
+    scored = slim.select("doc_id", *keys, "text").mapInArrow(score, "doc_id bigint, k1 bigint, k2 bigint, score double, kept boolean")
+    # a row a pattern, so as few as there are ways to vote
+    known = spark.createDataFrame(list(by_votes.items()), "votes string, posterior double")
+    out = scored.join(voted.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).join(F.broadcast(known), "votes")
+    return out.select("doc_id", "votes", "posterior", "score", "kept")
