@@ -4,7 +4,7 @@ the plan is a single scan without an exchange, so neither hot sources nor copies
 
 Defined cases: null and empty texts have no words and fail the base rules (fewer than MIN_WORDS words). Windows of five
 words are told apart by a 64-bit hash of their words' 64-bit hashes. Blank lines are neither kept nor lost text.
-Repeated rows are judged alike, extra columns pass through quality_stage untouched.
+A text no line of which fails stays as it is. Repeated rows are judged alike, extra columns pass through quality_stage untouched.
 """
 
 from __future__ import annotations
@@ -73,13 +73,14 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("word_chars", word_chars(F.col("__words"))).withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-    df = df.withColumn("__good", F.filter("__lines", lambda x: line_verdict(x).isNull()))
-    df = df.withColumn("cleaned_text", F.array_join("__good", "\n"))
+    # a blank line fails no rule, so it stays where it is
+    df = df.withColumn("__all", F.split(text, "\n")).withColumn("__good", F.filter("__all", lambda x: line_verdict(x).isNull()))
+    df = df.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_failed_lines", (F.size("__all") - F.size("__good")).cast("long"))
+    df = df.withColumn("cleaned_text", F.when(F.col("n_failed_lines") > 0, F.array_join("__good", "\n")).otherwise(F.col(text_col)))
     left = word_chars(words(F.col("cleaned_text")))
-    df = df.withColumn("lost_chars", F.when(F.size("__good") < F.size("__lines"), F.col("word_chars") - left).otherwise(0).cast("long"))
-    df = df.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_failed_lines", (F.size("__lines") - F.size("__good")).cast("long"))
+    df = df.withColumn("lost_chars", F.when(F.col("n_failed_lines") > 0, F.col("word_chars") - left).otherwise(0).cast("long"))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOSS_PERCENT)
-    return df.withColumn("kept", kept).drop("__words", "__lines", "__good")
+    return df.withColumn("kept", kept).drop("__words", "__lines", "__all", "__good")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +90,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents that pass, whole and with their own columns."""
+    """The documents that pass, without their failed lines; n_chars, where docs has it, is the length of what is left."""
     found = judge(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("text")))
+    new = {"text": F.col("cleaned_text"), "n_chars": F.length("cleaned_text")}
+    own = [new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("__row")[f.name].alias(f.name) for f in docs.schema.fields]
     # a filter on kept would be pushed below all of judge()'s steps, each copied into the next; none is pushed below a generator
-    kept = F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row")
+    kept = F.explode_outer(F.when(F.col("kept"), F.array(F.struct(*own)))).alias("__row")
     return found.select(kept).filter("__row is not null").select("__row.*")
