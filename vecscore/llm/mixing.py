@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from vecscore.llm.common import words, written
 
-BLOCKS, SEED = 256, 17
+#: Blocks of a source: BLOCKS, or as many that none of them is likely to hold more than about PER_BLOCK documents.
+BLOCKS, PER_BLOCK, SEED = 256, 20_000, 17
 #: Share of the largest entropy (all sources alike) to reach, and how often a source may be repeated to reach it.
 ENTROPY_SHARE, MAX_REPEATS = 0.98, 1.5
 LEVELS, PASSES = 5, 4
@@ -59,12 +60,16 @@ def find_exponent(sources: DataFrame, entropy_share: float, max_repeats: float)
     return exponent, measure([exponent])[exponent][1]
 
 
-def keyed(docs: DataFrame, id_col: str, source_col: str, tokens: Column) -> DataFrame:
+def block_count(rows: int) -> int:
+    return max(BLOCKS, 1 << max(0, -(-rows // PER_BLOCK) - 1).bit_length())
+
+
+def keyed(docs: DataFrame, id_col: str, source_col: str, tokens: Column, blocks: int = BLOCKS) -> DataFrame:
     """docs with source (null-safe key), block, u in [0, 1) that orders a block, and tokens."""
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     h = F.xxhash64(F.lit(SEED), F.col(id_col))
     u = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    return docs.withColumns({"__key": key, "__block": F.pmod(h, F.lit(BLOCKS)).cast("int"), "__u": u, "__tokens": tokens})
+    return docs.withColumns({"__key": key, "__block": F.pmod(h, F.lit(blocks)).cast("int"), "__u": u, "__tokens": tokens})
 
 
 def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: float | None = None) -> DataFrame:
@@ -110,7 +115,7 @@ def token_count(text: Column) -> Column:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: float | None = None) -> DataFrame:
     """A row for each time a document is taken: doc_id, source, tokens, weight, epoch, block, mix_position. The texts are read once."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("tokens"))
-    slim = written(keyed(slim, "doc_id", "source", F.col("tokens")), "slim")
+    slim = written(keyed(slim, "doc_id", "source", F.col("tokens"), block_count(docs.count())), "slim")
     out = realise(slim, plan(slim, entropy_share, max_repeats, budget))
     return out.select("doc_id", "source", "tokens", "weight", F.col("epoch").cast("int").alias("epoch"), F.col("__block").alias("block"), "mix_position")
 
@@ -118,5 +123,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mix_stage(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """The documents as often as the mix takes them, each at least once."""
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text").alias("__text"))
-    rows = keyed(rows, "__id", "__source", token_count(F.col("__text")))
+    rows = keyed(rows, "__id", "__source", token_count(F.col("__text")), block_count(docs.count()))
     return realise(rows, plan(rows, entropy_share, max_repeats)).select("__row.*")
