@@ -70,7 +70,7 @@ def test_exact(docs, none, rows):
 
 
 def test_exact_chunks_join_to_the_text(docs):
-    cut = docs.filter("text is not null").select("text", exact_dedup.chunks(docs.text, 64, 256, 100).alias("c")).collect()
+    cut = docs.filter("text is not null").select("text", exact_dedup.chunks(docs.text, 64, 256).alias("c")).collect()
     assert all("".join(r.c) == r.text for r in cut)
 
 
@@ -346,3 +346,24 @@ def test_urls(spark):
     assert [found[k].verdict for k in (2, 4, 5, 7)] == ["allow", "block", "block", "allow"]
     assert sum(found[n + k].verdict == "allow" for k in range(200)) >= 195 and all(found[n + 200 + k].verdict == "block" for k in range(60))
     assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
+def test_passages_of_many_words(docs, none):
+    """Against a count of windows of 51 words; a shorter passage is not reported, a passage of fewer bytes than the window is."""
+    short = " ".join(f"x{k % 97}y{k}" for k in range(51))
+    texts = {**dict(enumerate(TEXTS)), 100: prose(60, 90) + " " + short + "\n" + prose(60, 91), 101: prose(70, 92) + "\n" + short.upper() + " " + prose(9, 93), 102: prose(40, 94) + " " + " ".join(short.split()[:50])}
+    said = {k: [w.translate(UPPER) for w in words_of(t)] for k, t in texts.items()}
+    windows = Counter(tuple(w[i : i + 51]) for w in said.values() for i in range(len(w) - 50))
+    df = docs.sparkSession.createDataFrame([(k, t, 1) for k, t in texts.items()], "doc_id long, text string, th int").repartition(3)
+    found = by_id(repeats.remove_repeats(df))
+    for k, w in said.items():
+        at = sorted({i + j for i in range(len(w) - 50) if windows[tuple(w[i : i + 51])] > 1 for j in range(51)})
+        runs = sum(i == 0 or at[i - 1] != x - 1 for i, x in enumerate(at))
+        assert (found[k].n_passage_words, found[k].n_passages) == (len(at), runs), k
+    assert found[100].n_passage_words == found[101].n_passage_words == 51 and found[102].n_passage_words == 0 and found[100].n_removed == 0
+
+
+def test_repeats_of_rows_without_ids(spark):
+    text = prose(120, 95)
+    found = repeats.remove_repeats(spark.createDataFrame([(None, text), (None, text + " a"), (1, text), (2, None)], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in found) == [0, *[len(text.encode())] * 3]
