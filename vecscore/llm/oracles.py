@@ -27,14 +27,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM r GROUP BY conv_id"""
 
 
-def lines(m: int = line_dedup.MIN_LINES) -> str:
-    window = " || chr(10) || ".join(f"l[i + {k}]" if k else "l[i]" for k in range(m))
+def lines(m: int = line_dedup.MIN_LINES, long_words: int = line_dedup.LONG_WORDS) -> str:
+    """Windows of m lines, and shorter ones of more than long_words words."""
+    key = lambda n: " || chr(10) || ".join(f"l[i + {k}]" if k else "l[i]" for k in range(n))
+    every = " UNION ALL ".join(f"SELECT doc_id, i, {n} AS n, {key(n)} AS key FROM (SELECT doc_id, l, unnest(range(1, len(l) - {n - 2})) AS i FROM d) x" for n in range(1, m + 1))
     return f"""WITH d AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_BLANK}')) AS l FROM documents),
-w AS (SELECT doc_id, i, {window} AS key FROM (SELECT doc_id, l, unnest(range(1, len(l) - {m - 2})) AS i FROM d) x),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM w) x WHERE n > 1),
-s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {m} THEN 0 ELSE 1 END AS new FROM later),
-u AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
-runs AS (SELECT doc_id, run, max(i) + {m} - min(i) AS length FROM u GROUP BY 1, 2),
+w AS (SELECT * FROM ({every}) x WHERE n = {m} OR len(regexp_extract_all(key, '{_WORD}')) > {long_words}),
+later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, key ORDER BY doc_id, i) AS k FROM w) x WHERE k > 1),
+s AS (SELECT doc_id, i, n, CASE WHEN i <= max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM later),
+u AS (SELECT doc_id, i, n, sum(new) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM s),
+runs AS (SELECT doc_id, run, max(i + n) - min(i) AS length FROM u GROUP BY 1, 2),
 t AS (SELECT doc_id, sum(length) AS removed, count(*) AS n, max(length) AS longest FROM runs GROUP BY 1)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
 
@@ -44,7 +46,7 @@ def rules() -> str:
     count = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
     quoted = lambda p: p.replace("'", "''")
     bad_marks = f"{count('x', quoted(q.MARK_RUNS))} >= {q.MIN_MARK_RUNS} OR {count('x', quoted(q.MARKS))} * 100 > length(x) * {q.MAX_MARKS_PERCENT}"
-    failed = f"(regexp_matches(x, '{quoted(q.SUSPECT)}') AND ({count('x', q.SEPARATORS)} >= {q.MIN_SEPARATORS} OR {bad_marks})) OR (length(x) <= {q.BOILERPLATE_CHARS} AND regexp_matches(x, '{q.BOILERPLATE}'))"
+    failed = f"{count('x', q.SEPARATORS)} >= {q.MIN_SEPARATORS} OR {bad_marks} OR (length(x) <= {q.BOILERPLATE_CHARS} AND regexp_matches(x, '{q.BOILERPLATE}'))"
     chars = lambda x: f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]', '', 'g'))"
     five = " || chr(32) || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(q.WINDOW))
     return f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

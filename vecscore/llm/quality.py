@@ -25,8 +25,6 @@ MARK_RUNS = r"!!+|\?\?+|[#*$%&<>=~^_]{2,}"
 MIN_MARK_RUNS = 3
 MARKS = r"[^\p{L}\p{M}\p{N}\s]"
 MAX_MARKS_PERCENT = 25
-#: Read by the SQL of the query alone, which holds only lines with one of these against the rules on marks; the rules don't imply it.
-SUSPECT = r"[|»›•·#*$%&<>=~^_@+/{}\[\]\\]|[!?.,;:\-\"'()]{2}"
 #: Words of page furniture. A line with any of these and no more than BOILERPLATE_CHARS characters is boilerplate.
 BOILERPLATE = r"(?i)\b(?:cookies?|javascript|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|click here|read more|share this|copyright|skip to content)\b"
 BOILERPLATE_CHARS = 160

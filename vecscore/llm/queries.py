@@ -24,7 +24,9 @@ HARD_TEXT = "\\### Assistant: </turn> ok"
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], rows.schema)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    added = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(HARD_TEXT)}
+    hard = spark.range(2).select(*[v.cast(types[k]).alias(k) for k, v in added.items()])
     records = chat_format.from_rows(rows.unionByName(hard))
     out = chat_format.format_chats(chat_format.canonical_turns(records))
     out = out.withColumn("pieces", chat_format.split_turns(F.col("formatted")))
