@@ -101,8 +101,8 @@ def test_hash_and_number(spark):
     names = ["", "MERC-001", "a" * 50]
     df = spark.createDataFrame([(n,) for n in names], "s string").select(ingest.string_hash(F.col("s")).alias("h"))
     assert [r.h for r in df.collect()] == [djb2(n) for n in names]
-    ids = spark.createDataFrame([("tx-12",), ("12",), ("a-b",), ("a-1-2",), (None,)], "i string").select(ingest.transaction_number(F.col("i")).alias("n"))
-    assert [r.n for r in ids.collect()] == [12, 0, 0, 0, 0]
+    ids = spark.createDataFrame([("tx-12",), ("12",), ("a-b",), ("a-1-2",), ("tx-1x2",), ("t--3",), ("t-18446744073709551615",), ("t-18446744073709551621",), (None,)], "i string").select(ingest.transaction_number(F.col("i")).alias("n"))
+    assert [r.n for r in ids.collect()] == [12, 0, 0, 1, 1, 0, -1, 5, 0]
 
 
 def vectors(spark, rows):
@@ -195,7 +195,23 @@ def test_evaluation(spark):
 
 
 def test_humanized(spark):
-    sizes = spark.createDataFrame([(0,), (9,), (10,), (999,), (1000,), (1500000,)], "n bigint").select(evaluate.humanize_bytes(F.col("n")).alias("s"))
-    assert [r.s for r in sizes.collect()] == ["0 B", "9 B", "10 B", "999 B", "1.0 kB", "1.5 MB"]
-    times = spark.createDataFrame([(0.0,), (0.5,), (1.5,), (999.0,), (61000.0,), (3723000.0,)], "ms double").select(evaluate.humanize_duration(F.col("ms")).alias("s"))
-    assert [r.s for r in times.collect()] == ["0s", "500µs", "1.5ms", "999ms", "1m1s", "1h2m3s"]
+    def shown(rows, schema, make):
+        df = spark.createDataFrame(rows, schema)
+        return [r.s for r in df.select(make(*(F.col(c) for c in df.columns)).alias("s")).collect()]
+
+    sizes = {0: "0 B", 9: "9 B", 10: "10 B", 999: "999 B", 1000: "1.0 kB", 1500000: "1.5 MB", 10**15: "1.0 PB", 25 * 10**17: "2.5 EB"}
+    assert shown([(k,) for k in sizes], "n bigint", evaluate.humanize_bytes) == list(sizes.values())
+    times = {0.0: "0s", 0.0005: "500ns", 0.5: "500µs", 0.0019999: "1.99µs", 1.5: "1.5ms", 1.999: "1.99ms", 999.0: "999ms", 59999.0: "59.99s", 60000.0: "1m0s", 61000.0: "1m1s", 119999.0: "1m59s", 3723000.0: "1h2m3s"}
+    assert shown([(k,) for k in times], "ms double", evaluate.humanize_duration) == list(times.values())
+    assert shown([(1999.0,)], "ms double", lambda c: evaluate.humanize_duration(c, "s")) == ["2.00s"]
+    values = [(0.99999, "rate", "default"), (1500.0, "counter", "data"), (1.999, "trend", "time"), (2.5, "gauge", "default")]
+    assert shown(values, "x double, kind string, contains string", evaluate.humanize_value) == ["99.99%", "1.5 kB", "1.99ms", "2.5"]
+
+
+def test_report_lines(spark):
+    df = spark.createDataFrame([("http_reqs", "a<b", True), ("m{x:'1'}", "p & q", False)], "m string, t string, ok boolean")
+    out = df.select(evaluate.display_name(F.col("m")), evaluate.indent(F.col("m")), evaluate.junit_case(F.col("m"), F.col("t"), F.col("ok"))).collect()
+    assert [tuple(r) for r in out] == [
+        ("http_reqs", "", '<testcase name="http_reqs - a&lt;b" />'),
+        ("{ x:'1' }", "  ", '<testcase name="m{x:&#39;1&#39;} - p &amp; q"><failure message="failed" /></testcase>'),
+    ]

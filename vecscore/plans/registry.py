@@ -484,20 +484,67 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy("name")
 
 
-_STEP = "CASE WHEN n < 10 THEN 0 ELSE least(floor(log10(CAST(n AS DOUBLE) + 0.5) / 3), 4) END"
+_TRIM = r"regexp_replace(regexp_replace({0}, '(\.\d*?)0+$', '\1'), '\.$', '')"
 
 
-@query("humanize_bytes", f"WITH b AS (SELECT event_id, event_id * event_id * 7 AS n FROM events), s AS (SELECT *, {_STEP} AS step FROM b), v AS (SELECT *, floor(n / pow(1000.0, step) * 10 + 0.5) / 10 AS value FROM s) SELECT event_id, CASE WHEN n < 10 THEN CAST(n AS VARCHAR) || ' B' ELSE CASE WHEN value < 10 THEN printf('%.1f', value) ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) END || ' ' || ['B', 'kB', 'MB', 'GB', 'TB'][CAST(step AS INTEGER) + 1] END AS shown FROM v")
-def humanize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id") * F.col("event_id") * 7
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", evaluate.humanize_bytes(n).alias("shown"))
+def _cut(x: str, digits: int) -> str:
+    return _TRIM.format(f"printf('%.{digits}f', trunc({x} * {10**digits}) / {10**digits})")
+
+
+def _bytes_sql(n: str) -> str:
+    e = f"CAST(floor(ln(CAST({n} AS DOUBLE)) / ln(1000.0)) AS INTEGER)"
+    v = f"(floor({n} / pow(1000.0, {e}) * 10 + 0.5) / 10)"
+    return f"CASE WHEN {n} < 10 THEN {_TRIM.format(f"printf('%.6f', CAST({n} AS DOUBLE))")} || ' B' ELSE CASE WHEN {v} < 10 THEN printf('%.1f', {v}) ELSE CAST(CAST(floor({v} + 0.5) AS BIGINT) AS VARCHAR) END || ' ' || ['B', 'kB', 'MB', 'GB', 'TB', 'PB', 'EB', 'ZB', 'YB'][{e} + 1] END"
+
+
+def _time_sql(t: str) -> str:
+    whole, sec = f"CAST(trunc({t} / 60000) AS BIGINT)", f"(({t} % 60000) / 1000)"
+    tail = f"CASE WHEN {t} > 60000 THEN {_cut(sec, 0)} ELSE {_cut(sec, 2)} END || 's'"
+    return f"""CASE WHEN {t} = 0 THEN '0s' WHEN {t} < 0.001 THEN CAST(CAST(trunc({t} * 1000000) AS BIGINT) AS VARCHAR) || 'ns' WHEN {t} < 1 THEN {_cut(f"({t} * 1000)", 2)} || 'µs' WHEN {t} < 1000 THEN {_cut(t, 2)} || 'ms'
+      ELSE CASE WHEN {whole} >= 60 THEN CAST({whole} // 60 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN {whole} >= 1 THEN CAST({whole} % 60 AS VARCHAR) || 'm' ELSE '' END || {tail} END"""
 
 
-_TRIM = "regexp_replace(regexp_replace({0}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
-_DUR = "CASE WHEN ms = 0 THEN '0s' WHEN ms < 1000 THEN " + _TRIM.format("printf('%.2f', floor(ms * 100 + 0.5) / 100)") + " || 'ms' WHEN ms < 60000 THEN " + _TRIM.format("printf('%.2f', floor(ms / 1000 * 100 + 0.5) / 100)") + " || 's' WHEN ms < 3600000 THEN printf('%dm%ds', CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) ELSE printf('%dh%dm%ds', CAST(floor(ms / 3600000) AS BIGINT), CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) END"
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-@query("humanize_duration", f"SELECT event_id, {_DUR} AS shown FROM (SELECT event_id, CAST(event_id * event_id AS DOUBLE) / 4 AS ms FROM events) x WHERE ms = 0 OR ms >= 1")
+@query("humanize_bytes", f"SELECT event_id, {_bytes_sql('n')} AS shown FROM (SELECT event_id, CAST(event_id AS DOUBLE) * event_id * event_id * event_id * 7 AS n FROM events) x")
+def humanize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return _events(spark, sf_dir).select("event_id", evaluate.humanize_bytes(e.cast("double") * e * e * e * 7).alias("shown"))
+
+
+@query("humanize_duration", f"SELECT event_id, {_time_sql('ms')} AS shown FROM (SELECT event_id, CAST(event_id * event_id AS DOUBLE) / 512 AS ms FROM events) x")
 def humanize_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ((F.col("event_id") * F.col("event_id")).cast("double") / 4).alias("ms"))
-    return df.filter("ms = 0 or ms >= 1").select("event_id", evaluate.humanize_duration(F.col("ms")).alias("shown"))
+    return _events(spark, sf_dir).select("event_id", evaluate.humanize_duration((F.col("event_id") * F.col("event_id")).cast("double") / 512).alias("shown"))
+
+
+_KIND = "CASE WHEN event_id % 4 = 0 THEN 'rate' ELSE 'gauge' END"
+_CONTAINS = "CASE event_id % 4 WHEN 1 THEN 'data' WHEN 2 THEN 'time' ELSE 'default' END"
+
+
+@query("humanize_value", f"""SELECT event_id, CASE WHEN kind = 'rate' THEN printf('%.2f', trunc(x * 100 * 100) / 100) || '%' WHEN contains = 'data' THEN {_bytes_sql('x')} WHEN contains = 'time' THEN {_time_sql('x')} ELSE {_TRIM.format("printf('%.6f', x)")} END AS shown,
+  CASE WHEN x >= 0 THEN printf('%.2f', round(x * 0.001, 2)) || 's' END AS seconds FROM (SELECT event_id, {_KIND} AS kind, {_CONTAINS} AS contains, CAST(event_id % 1000 AS DOUBLE) / 8 AS x FROM events) y""")
+def humanize_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _events(spark, sf_dir).selectExpr("event_id", f"{_KIND} AS kind", f"{_CONTAINS} AS contains", "cast(event_id % 1000 as double) / 8 AS x")
+    x = F.col("x")
+    return df.select("event_id", evaluate.humanize_value(x, F.col("kind"), F.col("contains")).alias("shown"), evaluate.humanize_duration(x, "s").alias("seconds"))
+
+
+_METRIC = "CASE WHEN event_id % 2 = 0 THEN event_type ELSE event_type || '{user:' || CAST(event_id % 7 AS VARCHAR) || '}' END"
+
+
+@query("metric_names", f"SELECT event_id, CASE WHEN contains(name, '{{') THEN '{{ ' || regexp_extract(name, '\\{{(.*).$', 1) || ' }}' ELSE name END AS shown, CASE WHEN contains(name, '{{') THEN '  ' ELSE '' END AS indent FROM (SELECT event_id, {_METRIC} AS name FROM events) x")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _events(spark, sf_dir).selectExpr("event_id", f"{_METRIC.replace('VARCHAR', 'STRING')} AS name")
+    return df.select("event_id", evaluate.display_name(F.col("name")).alias("shown"), evaluate.indent(F.col("name")).alias("indent"))
+
+
+_HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&quot;')"
+_THRESHOLD = "concat('p(99)<', event_id % 50, ' & \"x\" > ''', event_type, '''')"
+
+
+@query("junit_cases", f"SELECT event_id, '<testcase name=\"' || {_HTML.format('event_type')} || ' - ' || {_HTML.format('t')} || '\"' || CASE WHEN event_id % 3 = 0 THEN '><failure message=\"failed\" /></testcase>' ELSE ' />' END AS line FROM (SELECT event_id, event_type, {_THRESHOLD} AS t FROM events) x")
+def junit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("p(99)<"), (F.col("event_id") % 50).cast("string"), F.lit(" & \"x\" > '"), F.col("event_type"), F.lit("'"))
+    return _events(spark, sf_dir).select("event_id", evaluate.junit_case(F.col("event_type"), t, F.col("event_id") % 3 != 0).alias("line"))

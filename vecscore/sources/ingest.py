@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ def parse_requests(requests: DataFrame, json_col: str = "json", profile: str = "
 
 
 def transaction_number(tx_id: Column) -> Column:
-    """The digits after an id's first dash, or 0."""
-    digits = F.regexp_extract(tx_id, r"^[^-]*-(\d{1,18})$", 1)
-    return F.coalesce(F.when(digits != "", digits).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """The digits that follow an id's first dash at once, or 0. Numbers of 64 bits or more wrap around, as bigint; beyond 38 digits they are 0."""
+    digits = F.regexp_extract(tx_id, r"^[^-]*-(\d{1,38})(?!\d)", 1)
+    wide = F.when(digits != "", digits).try_cast("decimal(38,0)") % F.lit(Decimal(2**64))
+    signed = F.when(wide >= F.lit(Decimal(2**63)), wide - F.lit(Decimal(2**64))).otherwise(wide)
+    return F.coalesce(signed.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def string_hash(text: Column) -> Column:
