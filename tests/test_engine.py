@@ -215,3 +215,12 @@ def test_report_lines(spark):
         ("http_reqs", "", '<testcase name="http_reqs - a&lt;b" />'),
         ("{ x:'1' }", "  ", '<testcase name="m{x:&#39;1&#39;} - p &amp; q"><failure message="failed" /></testcase>'),
     ]
+
+
+def test_evaluation_file(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"entries": [\n{"request": {"id": "tx-1", "merchant": {"mcc": "5411"}}, "expected_approved": true},\n{"request": {"id": "tx-2"}}],\n "stats": {"total": 2, "edge_case_rate": 1.5}}')
+    entries, stats = ingest.read_evaluation(spark, str(tmp_path))
+    rows = ingest.parse_requests(entries).select("position", "id", "mcc", "expected_approved").collect()
+    assert [(r.position, r.id, r.expected_approved) for r in rows] == [(0, "tx-1", True), (1, "tx-2", None)]
+    assert rows[0].mcc == "5411"
+    assert [(r.total, r.fraud_rate, r.edge_case_rate) for r in stats.collect()] == [(2, None, 1.5)]

@@ -446,6 +446,32 @@ def eval_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.transactions(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(f).alias("fraud_count"), F.round(F.avg(f.cast("int")), 6).alias("fraud_rate"), F.count_if(~f).alias("legit_count"))
 
 
+def _evaluation_files(spark: SparkSession, sf_dir: str) -> str:
+    """The transactions as evaluation objects of a thousand entries and their figures, a line each."""
+    known = fixtures.transactions(spark, sf_dir).select("event_id", (~F.col("is_fraud")).alias("good"))
+    each = fixtures.requests(spark, sf_dir).join(known, "event_id")
+    entry = F.concat(F.lit('{"request":'), "json", F.lit(',"expected_approved":'), F.col("good").cast("string"), F.lit("}"))
+    total, good = F.count(F.lit(1)), F.count_if(F.col("good"))
+    stats = F.to_json(F.struct(total.alias("total"), (total - good).alias("fraud_count"), good.alias("legit_count"), (100 * (total - good) / total).alias("fraud_rate"), (100 * good / total).alias("legit_rate")))
+    files = each.groupBy(F.floor(F.col("event_id") / 1000)).agg(F.array_join(F.collect_list(entry), ",").alias("entries"), stats.alias("stats"))
+    path = fresh_path(spark)
+    files.select(F.concat(F.lit('{"entries":['), "entries", F.lit('],"stats":'), "stats", F.lit("}"))).write.text(path)
+    return path
+
+
+@query("eval_entries", f"WITH {_TX} SELECT event_id AS number, installments, mcc, NOT is_fraud AS expected_approved FROM tx")
+def eval_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation files, written and read back."""
+    entries, _ = ingest.read_evaluation(spark, _evaluation_files(spark, sf_dir), lines=True)
+    return ingest.parse_requests(entries).select(ingest.transaction_number(F.col("id")).alias("number"), "installments", "mcc", "expected_approved")
+
+
+@query("eval_input_stats", f"WITH {_TX} SELECT count(*) AS total, count(*) FILTER (WHERE is_fraud) AS fraud_count, count(*) FILTER (WHERE NOT is_fraud) AS legit_count, round(100 * avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate, round(100 * avg(CAST(NOT is_fraud AS INTEGER)), 6) AS legit_rate FROM tx GROUP BY event_id // 1000")
+def eval_input_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, stats = ingest.read_evaluation(spark, _evaluation_files(spark, sf_dir), lines=True)
+    return stats.select("total", "fraud_count", "legit_count", F.round("fraud_rate", 6).alias("fraud_rate"), F.round("legit_rate", 6).alias("legit_rate"))
+
+
 @query("eval_errors", f"WITH {_EVAL} SELECT n, weighted, round(failure_rate, 6) AS failure_rate, round(error_rate, 6) AS error_rate FROM er")
 def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.errors(evaluate.confusion(_evaluated(spark, sf_dir))).select("n", "weighted", F.round("failure_rate", 6).alias("failure_rate"), F.round("error_rate", 6).alias("error_rate"))

@@ -91,3 +91,14 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not wanted <= set(vectors.columns) or not {f"c{d}" for d in range(DIMS)} <= set(centroids.columns):
         raise ValueError(f"{path} holds no index of {DIMS} dimensions")
     return vectors, centroids
+
+
+#: An evaluation file: entries with a request and the expected decision, and figures of the whole set.
+EVALUATION_DDL = f"entries array<struct<request:struct<{REQUEST_DDL}>,expected_approved:boolean>>, stats struct<total:bigint,fraud_count:bigint,fraud_rate:double,legit_count:bigint,legit_rate:double,edge_case_rate:double>"
+
+
+def read_evaluation(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of evaluation files {"entries": [...], "stats": {...}}, one object a file or, with lines, a line: a row for each entry (position, json as parse_requests() takes it, expected_approved), and the stats of each object. Absent fields are null."""
+    files = spark.read.schema(EVALUATION_DDL).json(path, multiLine=not lines)
+    entries = files.select(F.posexplode("entries").alias("position", "e")).select("position", F.to_json("e.request").alias("json"), "e.expected_approved")
+    return entries, files.select("stats.*")

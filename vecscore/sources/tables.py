@@ -11,9 +11,12 @@ _local: list[str] = []
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir or, where that is unset, in a local folder."""
+    """A new path under spark.checkpoint.dir or, where that is unset and all runs in one process, in a local folder; a cluster without it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _local[:] = _local or [tempfile.mkdtemp(prefix="vecscore-")]
         base = _local[0]
     return f"{base.rstrip('/')}/vecscore-{uuid.uuid4().hex}"
