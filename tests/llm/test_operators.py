@@ -367,3 +367,39 @@ def test_repeats_of_rows_without_ids(spark):
     text = prose(120, 95)
     found = repeats.remove_repeats(spark.createDataFrame([(None, text), (None, text + " a"), (1, text), (2, None)], "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in found) == [0, *[len(text.encode())] * 3]
+
+
+def test_exact_stage_with_repeated_and_missing_ids(spark):
+    def left(rows):
+        out = exact_dedup.exact_dedup_stage(spark.createDataFrame(rows, "doc_id long, text string, key string, again int"))
+        assert out.columns == ["doc_id", "text", "key", "again"]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    assert left([(1, "alpha unique text", "a", 1), (1, "shared", "b", 1), (2, "shared", "c", 1)]) == [(1, "alpha unique text"), (2, "shared")]
+    assert left([(None, "shared", "a", 1), (None, "Shared", "b", 1), (2, "shared", "c", 1), (None, "own", "d", 1), (3, None, "e", 1), (4, "", "f", 1)]) == [(2, "shared"), (4, ""), (None, "own")]
+    assert left([(5, "x", "a", 1), (5, "x", "b", 2)]) == [(5, "x")] and len(left([(5, "x", "a", 1), (5, "X", "b", 2)])) == 1
+    assert left([]) == []
+
+
+def test_near_without_ids(spark):
+    text = prose(80, 97)
+    df = spark.createDataFrame([(None, text), (3, text), (None, "alone here now"), (4, None)], "doc_id long, text string")
+    found = [(r.doc_id, r.component_id) for r in near_dedup.near_dedup(df).collect()]
+    assert sorted(found, key=str) == sorted([(None, 3), (3, 3), (None, None), (4, 4)], key=str)
+
+
+def test_quality_stage_passes_what_is_left(spark):
+    good, bad = prose(108, 98), "a | b | c | d"
+    df = spark.createDataFrame([(1, f"{good}\n\n{bad}", 5), (2, f"{good}\n \n{good[:40]}", 7), (3, bad, 1)], "doc_id long, text string, n_chars int")
+    found = {r.doc_id: (r.text, r.n_chars) for r in quality.quality_stage(df).collect()}
+    assert found[1] == (good + "\n", len(good) + 1) and found[2][0] == f"{good}\n \n{good[:40]}" and 3 not in found
+
+
+def test_sketches_never_miss_a_difference():
+    r = np.random.default_rng(11)
+    for n in (3, 200, 900, 3000):
+        base = r.integers(-(1 << 62), 1 << 62, n)
+        for change in (0, 1, n // 20, n // 2):
+            other = np.unique(np.concatenate([base[change:], r.integers(-(1 << 62), 1 << 62, change)]))
+            x, y = (near_dedup.folded(near_dedup.sketch(np.unique(v))).view(np.uint64) for v in (base, other))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(base, other))
