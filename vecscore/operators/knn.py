@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact, in blocks, and by probing the cells of an index."""
+"""Nearest neighbours: exact, in parts, and by probing the cells of an index."""
 
 from __future__ import annotations
 
@@ -6,64 +6,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecscore.functions.schema import DIMS, K
-from vecscore.operators.distance import squared_distance
+from vecscore.functions.schema import K
 from vecscore.operators.kmeans import Q, cell_finder, centroid_array
+from vecscore.sources.tables import written
+
+#: Rows of a part of a cell's queries or vectors; two parts meet in one task as matrix products.
+PART = 16384
+#: Distances that are held at once.
+HELD = 1 << 21
+
+
+def _matrix(t: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy() for c in columns], 1).astype(np.float64)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, vector: list[str]) -> DataFrame:
+    """queries: cell_id, query_id, cell_rank and vector columns, with parts_q and parts_v; vectors: the same with vec_id and is_fraud. For each query and part of its cells' vectors the k nearest, of equally near ones those of least vec_id.
+
+    A cell's queries are dealt into parts_q parts and its vectors into parts_v, and each part of one side meets each of the other in a task of its own, so neither a large cell nor a cell that many queries probe is one task's work. k rows a query and part are what leaves a task."""
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.col(f"parts_{own}")).cast("int").alias(f"part_{own}")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(f"part_{other}")
+        # names of this side alone, as both sides may come from one table
+        columns = [F.col(c).alias(f"{own}_{c}") for c in df.columns if c not in ("parts_q", "parts_v")]
+        return df.select(*columns, part, f"parts_{other}").select("*", every).drop(f"parts_{other}")
+
+    keys = lambda own: [f"{own}_cell_id", "part_q", "part_v"]
+    schema = "query_id bigint, cell_rank int, vec_id bigint, distance bigint, is_fraud boolean"
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        v = v.sort_by("v_vec_id")
+        x, y = _matrix(q, [f"q_{c}" for c in vector]), _matrix(v, [f"v_{c}" for c in vector])
+        n, most = len(y), min(k, len(y))
+        squares, place, best, near = (y * y).sum(1), np.arange(n), [], []
+        step = max(1, HELD // max(n, 1))
+        for first in range(0, len(x) if n else 0, step):
+            own = x[first : first + step]
+            d = ((own * own).sum(1)[:, None] - 2 * (own @ y.T) + squares).astype(np.int64)
+            # distance, then place by vec_id, in one number
+            order = d * n + place
+            least = np.sort(np.partition(order, most - 1, 1)[:, :most], 1)
+            best.append((least % n).ravel())
+            near.append((least // n).ravel())
+        at, distance = (np.concatenate(part) if part else np.zeros(0, np.int64) for part in (best, near))
+        rows = pa.array(np.repeat(np.arange(len(x) if n else 0), most))
+        at = pa.array(at)
+        columns = [q.column("q_query_id").take(rows), q.column("q_cell_rank").take(rows), v.column("v_vec_id").take(at), pa.chunked_array([pa.array(distance, pa.int64())]), v.column("v_is_fraud").take(at)]
+        return pa.table(columns, names=["query_id", "cell_rank", "vec_id", "distance", "is_fraud"])
+
+    q = dealt(queries.select("cell_id", F.col("query_id").cast("bigint").alias("query_id"), "cell_rank", *vector, "parts_q", "parts_v"), "query_id", "q", "v")
+    v = dealt(vectors.select("cell_id", F.col("vec_id").cast("bigint").alias("vec_id"), "is_fraud", *vector, "parts_q", "parts_v"), "vec_id", "v", "q")
+    return q.groupBy(*keys("q")).cogroup(v.groupBy(*keys("v"))).applyInArrow(run, schema)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("query_id").orderBy("distance", "cell_rank", "vec_id")
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance", "is_fraud")
 
-#: Rows of a block; a pair of blocks is one matrix product.
-BLOCK = 2048
-
-
-def _blocks(df: DataFrame, columns: list[str], vector: list[str], id_col: str, size: int) -> DataFrame:
-    """df as rows that hold BLOCK vectors or fewer each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, size):
-                part = b.slice(first, size)
-                x = np.stack([part.column(q).to_numpy(zero_copy_only=False) for q in vector], 1).astype(np.float64)
-                own = [pa.array([part.column(c).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())) for c in columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes()], pa.binary())], names=[*columns, "vectors"])
 
-    schema = ", ".join(f"{c} array<bigint>" for c in columns) + ", vectors binary"
-    return df.select(*[F.col(c).cast("bigint").alias(c) for c in columns], *vector).mapInArrow(run, schema)
+def _parts(rows: Column) -> Column:
+    return F.greatest(F.ceil(rows / PART), F.lit(1)).cast("int")
 
 
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = K, vector: list[str] = Q) -> DataFrame:
     """queries: query_id and vector columns; vectors: vec_id, is_fraud and vector columns. query_id, rank (from 1), vec_id, distance, is_fraud; of equally near ones the least vec_id.
 
-    Blocks of queries meet blocks of vectors; each pair of blocks keeps k rows a query, so only |queries| * k rows a block of vectors are exchanged. A block of queries goes to every block of vectors by a key, not by a cross join."""
-    q = _blocks(queries, ["query_id"], vector, "query_id", BLOCK).withColumn("block", F.monotonically_increasing_id())
-    v = _blocks(vectors, ["vec_id", "is_fraud"], vector, "vec_id", 4 * BLOCK)
-    numbers = [r["block"] for r in q.select("block").collect()]
-    if not numbers:
-        return queries.sparkSession.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, distance BIGINT, is_fraud BOOLEAN")
-    pairs = v.withColumn("block", F.explode(F.array(*map(F.lit, numbers)))).join(q.withColumnRenamed("vectors", "own"), "block").drop("block")
-    dims = len(vector)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                x, y = np.frombuffer(row["own"]).reshape(-1, dims), np.frombuffer(row["vectors"]).reshape(-1, dims)
-                ids, fraud = np.array(row["vec_id"]), np.array(row["is_fraud"])
-                d = (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(d[:, order], 1, kind="stable")[:, :k]]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": np.repeat(np.array(row["query_id"]), n), "vec_id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).astype(np.int64).ravel(), "is_fraud": fraud[best].ravel() > 0}
-                )
-
-    near = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, distance bigint, is_fraud boolean")
-    by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance", "is_fraud")
+    All vectors are one cell here, dealt into parts by their number: parts of queries meet parts of vectors, and each pair of parts keeps k rows a query."""
+    sizes = {f"parts_{side}": _parts(F.lit(df.count())) for side, df in (("q", queries), ("v", vectors))}
+    one = {"cell_id": F.lit(0), **sizes}
+    return _ranked(_nearest(queries.withColumns({**one, "cell_rank": F.lit(0)}), vectors.withColumns(one), k, vector), k)
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """queries: query_id, q0... query_id, cell_rank (from 0), cell_id, distance of the nprobe nearest cells; of equally near ones the least first."""
+    """queries: query_id, q0... query_id, cell_rank (from 0), cell_id, distance of the nprobe nearest cells, and the query's q0...; of equally near ones the least first."""
     found = centroid_array(centroids)
     ids = np.array([cell for cell, _ in found], np.int32)
     find = cell_finder(found, nprobe)
@@ -73,18 +92,25 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFr
             at, distance = find(b)
             n = at.shape[1]
             yield pa.RecordBatch.from_pydict(
-                {"query_id": np.repeat(b.column("query_id").to_numpy(zero_copy_only=False), n), "cell_rank": np.tile(np.arange(n, dtype=np.int32), len(at)), "cell_id": ids[at].ravel(), "distance": distance.ravel()}
+                {
+                    "query_id": np.repeat(b.column("query_id").to_numpy(zero_copy_only=False), n),
+                    "cell_rank": np.tile(np.arange(n, dtype=np.int32), len(at)),
+                    "cell_id": ids[at].ravel(),
+                    "distance": distance.ravel(),
+                    **{c: np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int32), n) for c in Q},
+                }
             )
 
-    return queries.select("query_id", *Q).mapInArrow(run, "query_id bigint, cell_rank int, cell_id int, distance bigint")
+    return queries.select("query_id", *Q).mapInArrow(run, "query_id bigint, cell_rank int, cell_id int, distance bigint, " + ", ".join(f"{c} int" for c in Q))
 
 
 def ivf_neighbours(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = K, nprobe: int = 1) -> DataFrame:
-    """The k nearest vectors among the probed cells: query_id, rank, vec_id, distance, is_fraud. Of equally near ones the nearer cell's, then the least vec_id. Cells are joined by id, so a query meets its cells' vectors only."""
-    cells = probe_cells(queries, centroids, nprobe).select("query_id", "cell_rank", "cell_id").join(queries.select("query_id", *[F.col(q).alias(f"c{d}") for d, q in enumerate(Q)]), "query_id")
-    near = cells.join(vectors.select("vec_id", "is_fraud", "cell_id", *Q), "cell_id").select("query_id", "cell_rank", "vec_id", "is_fraud", squared_distance(dims=DIMS).alias("distance"))
-    by = Window.partitionBy("query_id").orderBy("distance", "cell_rank", "vec_id")
-    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance", "is_fraud")
+    """The k nearest vectors among the probed cells: query_id, rank, vec_id, distance, is_fraud. Of equally near ones the nearer cell's, then the least vec_id. A query meets its cells' vectors only, and no pair of them becomes a row."""
+    probes = written(probe_cells(queries, centroids, nprobe).drop("distance"))
+    # a row for each probed cell that holds vectors, so never more rows than the centroids that the probes hold on the driver
+    sizes = probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_q")).join(vectors.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_v")), "cell_id")
+    sizes = F.broadcast(written(sizes.select("cell_id", _parts(F.col("n_q")).alias("parts_q"), _parts(F.col("n_v")).alias("parts_v"))))
+    return _ranked(_nearest(probes.join(sizes, "cell_id"), vectors.join(sizes, "cell_id"), k, Q), k)
 
 
 def votes(queries: DataFrame, neighbours: DataFrame) -> DataFrame:

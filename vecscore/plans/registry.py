@@ -358,7 +358,7 @@ def knn_topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ivf_probe_cells", f"WITH {_INDEX}, {_search(_SAMPLED, 8)} SELECT query_id, CAST(cell_rank AS INTEGER) AS cell_rank, cell_id, CAST(distance AS BIGINT) AS distance FROM probe")
 def ivf_probe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = _index(spark, sf_dir)
-    return knn.probe_cells(_queries(v), c, 8)
+    return knn.probe_cells(_queries(v), c, 8).drop(*Q)
 
 
 def _ivf(nprobe: int) -> None:
