@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 DIMS = 14
-K, NPROBE, CELLS, ITERATIONS = 5, 1, 64, 3
+K, NPROBE, CELLS, ITERATIONS = 5, 1, 1024, 3
 KNOWN_MERCHANTS = 32
 
 REQUEST_DDL = (
