@@ -129,6 +129,27 @@ def test_exact_knn_ties_and_many_blocks(spark):
         assert [(r.distance, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def test_searches_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PART", 16)
+    v = vectors(spark, [(i, (i * 7919) % 90 - 45, i % 3 == 0, None) for i in range(300)])
+    c = spark.createDataFrame([(k, x, *[0] * (DIMS - 1)) for k, x in enumerate([-10, 10, 10])], "cell_id int, " + ", ".join(f"c{d} bigint" for d in range(DIMS)))
+    v = kmeans.assign(v, kmeans.centroid_array(c))
+    values = list(range(-45, 45))
+    rows = [(r.vec_id, r.q0, r.cell_id) for r in v.collect()]
+    exact, probed = (sorted((r.query_id, r["rank"], r.distance, r.vec_id) for r in df.collect()) for df in (knn.exact_knn(queries(spark, values), v), knn.ivf_neighbours(queries(spark, values), v, c, nprobe=1)))
+    best = lambda x, own: [(d, i) for d, i in sorted(((x - q) ** 2, i) for i, q, _ in own)[:5]]
+    assert exact == [(n, k + 1, *b) for n, x in enumerate(values) for k, b in enumerate(best(x, rows))]
+    assert probed == [(n, k + 1, *b) for n, x in enumerate(values) for k, b in enumerate(best(x, [r for r in rows if r[2] == (0 if x <= 0 else 1)]))]
+
+
+def test_searches_without_queries_or_vectors(spark):
+    v, q = vectors(spark, [(0, 5, True, 0)]), queries(spark, [5])
+    c = spark.createDataFrame([(0, *[0] * DIMS)], "cell_id int, " + ", ".join(f"c{d} bigint" for d in range(DIMS)))
+    for own, found in ((q.limit(0), v), (q, v.limit(0))):
+        assert knn.exact_knn(own, found).count() == 0 and knn.ivf_neighbours(own, found, c).count() == 0
+    assert knn.votes(q, knn.exact_knn(q, v)).first().fraud_count == 1
+
+
 def test_ivf(spark):
     v = vectors(spark, [(i, 9000 if i < 50 else 1000, i < 50, 0 if i < 50 else 1) for i in range(100)])
     c = spark.createDataFrame([(k, x, *[0] * (DIMS - 1)) for k, x in enumerate([9000, 1000, 0, 0])], "cell_id int, " + ", ".join(f"c{d} bigint" for d in range(DIMS)))
