@@ -135,6 +135,23 @@ def test_chat_layouts(spark):
     assert all(r.layout is None for r in out if r.conv_id in (5, 6, 7))
 
 
+def test_chat_layouts_with_other_fields(spark):
+    records = [
+        (1, '{"messages":[{"role":"user","content":"a","name":"n"},{"role":"gpt","content":null}],"id":3}', "messages", ["a", ""]), (2, '{"instruction":"i","input":null,"output":"o","meta":{"role":"z"}}', "instruction", ["i", "o"]),
+        (3, '{"instruction":"i","output":"o","meta":[1]}', "instruction_only", ["i", "o"]), (4, '{"prompt":"p","response":"r","completion":"c"}', "prompt", ["p", "c"]),
+        (5, '{"conv_id":1,"role":"user","text":"t","turn":2,"lang":"en"}', "turn", ["t"]), (6, '{"messages":[]}', None, [None]), (7, '{"messages":[{"content":"a"}]}', None, [None]), (8, "[1]", None, [None]),
+    ]
+    df = spark.createDataFrame([(k, j, "x") for k, j, _, _ in records], "id long, json string, layout string")
+    out = chat_format.canonical_turns(df).orderBy("conv_id", "part").collect()
+    for k, _, layout, texts in records:
+        assert [(r.layout, r.text) for r in out if r.conv_id == k] == [(layout, t) for t in texts]
+    assert chat_format.canonical_turns(df.limit(0)).count() == 0
+    long = "é|>" * 3_000_000
+    df = spark.createDataFrame([(1, 0, "user", long, 1), (2, 0, "assistant", long, 1)], "conv_id long, turn long, role string, text string, piece int")
+    found = chat_format.format_chats(chat_format.canonical_turns(chat_format.from_rows(df)))
+    assert sorted(r.n for r in found.select(F.length("formatted").alias("n")).collect()) == [12_000_000 + len(f"<|{role}|>\n<|end|>\n") for role in ("user", "assistant")]
+
+
 def test_line_dedup(docs, none):
     found = by_id(line_dedup.line_dedup(docs))
     lines = {k: [x for x in (t or "").split("\n") if words_of(x)] for k, t in enumerate(TEXTS)}

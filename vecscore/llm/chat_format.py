@@ -2,18 +2,23 @@
 
 A record is a JSON object in some layout: one turn a record, a list of messages, an instruction with its output, a
 prompt with its completion. The nested field paths of each record, with types left out, are hashed to a fingerprint;
-the fingerprint selects a declarative mapping (LAYOUTS), and the mapping says where role and text are. The canonical
-turns of a conversation are then written in one template that marks turns, escapes its own control strings inside
+the fingerprint selects a declarative mapping (LAYOUTS), and the mapping says where role and text are. A record whose
+fingerprint no layout has is looked at without the fields that no layout knows (a list counts by its first item): of the
+layouts all of whose fields it has, that with the most fields is taken, of equally large ones the first. The canonical turns of a conversation are then written in one template that marks turns, escapes its own control strings inside
 roles and texts, and comes with a loss mask over the assistant's texts. Everything is SQL expressions: the fingerprint
 comes from Spark's VARIANT type, and one exchange by conversation brings its turns together.
 
 Defined cases: null role or text counts as empty; null turn numbers come first; equal turn numbers are ordered by
-role, then text; repeated rows are repeated turns. A record of no known layout gives one row with a null layout in
-canonical_turns and nothing in the formatted output. Other columns are ignored, empty tables give empty results.
+role, then text; repeated rows are repeated turns. A record that lacks a field of every layout, is no JSON or is longer
+than a VARIANT holds (128 MiB) gives one row with a null layout in canonical_turns and nothing in the formatted output. Other columns are ignored, empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,30 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z]+(?:\([^)]*\))?", ""))
 
 
+def fields_of(paths: str) -> list[str]:
+    """The paths of a layout's fields that hold values, a list's by its first item."""
+    found, prefix, name = [], [], ""
+    for token in re.findall(r"OBJECT<|ARRAY<|>|[a-z_]+", paths):
+        if token == "OBJECT<":
+            prefix.append(f".{name}" if name else "")
+            name = ""
+        elif token == "ARRAY<":
+            prefix.append(f".{name}[0]")
+            name = ""
+        elif token == ">":
+            prefix.pop()
+        else:
+            name = token
+            found.append("$" + "".join(prefix) + f".{token}")
+    # a field that holds others is not one of its own
+    return [p for p in found if not any(o.startswith((p + ".", p + "[")) for o in found)]
+
+
+def has_fields(v: Column, paths: str) -> Column:
+    """Whether a VARIANT has all fields of a layout, null ones too."""
+    return reduce(and_, [F.try_variant_get(v, p, "variant").isNotNull() for p in fields_of(paths)])
+
+
 def _text(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
@@ -53,17 +82,22 @@ def canonical_turns(records: DataFrame, id_col: str = "id", json_col: str = "jso
     none = F.lit(None)
     turn_type = "array<struct<turn:bigint,role:string,text:string>>"
     turn = lambda n, role, text: F.struct(n.cast("long").alias("turn"), role.cast("string").alias("role"), text.alias("text"))
-    turns, layout = none.cast(turn_type), none.cast("string")
-    for name, (paths, items, fields) in reversed(LAYOUTS.items()):
+    by_hash = none.cast("string")
+    for name, (paths, _, _) in reversed(LAYOUTS.items()):
+        by_hash = F.when(F.col("f") == F.xxhash64(F.lit(paths)), F.lit(name)).otherwise(by_hash)
+    # larger layouts first; sorted() leaves equally large ones in order
+    by_fields = F.coalesce(*[F.when(has_fields(v, LAYOUTS[name][0]), F.lit(name)) for name in sorted(LAYOUTS, key=lambda name: -len(fields_of(LAYOUTS[name][0])))])
+    df = df.withColumn("layout", F.when(v.isNotNull(), F.coalesce(by_hash, by_fields)))
+    turns = none.cast(turn_type)
+    for name, (_, items, fields) in reversed(LAYOUTS.items()):
         if items:
             each = F.transform(F.try_variant_get(v, items, "array<variant>"), _message(fields, turn))
         elif fields:
             each = F.array(*[turn(F.lit(n), F.lit(role), F.concat_ws("\n", *[F.nullif(_text(v, p), F.lit("")) for p in texts])) for n, (role, texts) in enumerate(fields)])
         else:
             each = F.array(turn(F.try_variant_get(v, "$.turn", "bigint"), _text(v, "$.role"), _text(v, "$.text")))
-        hit = F.col("f") == F.xxhash64(F.lit(paths))
-        turns, layout = F.when(hit, each.cast(turn_type)).otherwise(turns), F.when(hit, F.lit(name)).otherwise(layout)
-    df = df.select("id", layout.alias("layout"), F.posexplode_outer(turns).alias("part", "t"))
+        turns = F.when(F.col("layout") == name, each.cast(turn_type)).otherwise(turns)
+    df = df.select("id", "layout", F.posexplode_outer(turns).alias("part", "t"))
     role = F.col("t.role")
     for theirs, ours in ROLES.items():
         role = F.when(F.col("t.role") == theirs, F.lit(ours)).otherwise(role)
