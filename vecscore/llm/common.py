@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -104,3 +106,25 @@ def kept(name: str, make: Callable):
     if name not in state:
         state[name] = make()
     return state[name]
+
+
+def let_go() -> None:
+    """Drop what kept() holds in this Python worker and give unused memory back to the system."""
+    state = sys.modules.get("vecscore_worker_state")
+    if state is not None and state.__dict__:
+        state.__dict__.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: None)(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of mapInArrow, between two let_go(). Spark reuses its Python workers, so what one operator or task left would else stay in memory beside the next one's."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return go

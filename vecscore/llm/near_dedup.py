@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import slices, suspects, written
+from vecscore.llm.common import lean, slices, suspects, written
 
 WORDS, PERCENT = 3, 90
 #: Frequent shingles that are broadcast: classes by hash, and shingles of each. What a batch reports: so many shingles, each found so often in it.
@@ -150,7 +150,7 @@ def frequent(docs: DataFrame, words: int = WORDS, each: int = EACH) -> np.ndarra
                 found, n = found[top], n[top]
             yield pa.RecordBatch.from_pydict({"shingle": found, "n": n.astype(np.int64)})
 
-    sums = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(lean(run), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(F.pmod("shingle", F.lit(BUCKETS))).orderBy(F.desc("n"), "shingle")
     top = sums.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= each).select("shingle", "n").toPandas()
     return top.sort_values(["n", "shingle"])["shingle"].to_numpy(np.int64)
@@ -209,7 +209,7 @@ def prefixes(docs: DataFrame, order: np.ndarray, words: int = WORDS, percent: in
             columns.append(_lists([x if m else x[:0] for x, m in zip(large, more, strict=True)], [not m for m in more]))
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BASE.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, BASE)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), BASE)
 
 
 def most_apart(n: Column, n2: Column, percent: int) -> Column:
@@ -275,9 +275,9 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int =
     own = sizes.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     wanted = members.unionByName(own).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "salt")).alias("pivots"))
     # rows that repeat an id are one document, so one of them is enough
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(shingle, "a bigint, salt int, b bigint, shingles binary")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lean(shingle), "a bigint, salt int, b bigint, shingles binary")
     dealt = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return written(dealt.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    return written(dealt.mapInArrow(lean(compare), "a bigint, b bigint").distinct(), "links")
 
 
 def crossing(rows: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -331,7 +331,7 @@ def crossing(rows: DataFrame, percent: int, best: bool) -> DataFrame:
                         x, y, apart = x[order], y[order], apart[order]
                     yield pa.RecordBatch.from_pydict({"a": block[0][y], "b": node[x, 0], "apart": apart})
 
-    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "probe").mapInArrow(run, "a bigint, b bigint, apart bigint")
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "probe").mapInArrow(lean(run), "a bigint, b bigint, apart bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
