@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list = []
+
+
+def _clean() -> None:
+    for path, fs in _made:
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001  the session may be gone by now
+            return
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir or, where that is unset and all runs in one process, in a local folder; a cluster without it is an error."""
+    """A new path under spark.checkpoint.dir or, where that is unset and all runs in one process, in a local folder; a cluster without it is an error. What is there goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -19,7 +29,12 @@ def fresh_path(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _local[:] = _local or [tempfile.mkdtemp(prefix="vecscore-")]
         base = _local[0]
-    return f"{base.rstrip('/')}/vecscore-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/vecscore-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())))
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
