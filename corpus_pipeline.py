@@ -6,12 +6,10 @@ stage's docs. All but the last return the columns of documents; the last returns
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vecscore.llm import exact_dedup, mixing, near_dedup, packing, quality
-from vecscore.llm.common import shared_dir
+from vecscore.llm.common import drop_written, written
 from vecscore.llm.queries import tokenizer_path
 
 
@@ -47,9 +45,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            drop_written(docs)
+        docs = out
     return docs
