@@ -229,6 +229,11 @@ def test_humanized(spark):
     assert shown(values, "x double, kind string, contains string", evaluate.humanize_value) == ["99.99%", "1.5 kB", "1.99ms", "2.5"]
 
 
+def test_bytes_beyond_the_last_unit(spark):
+    df = spark.createDataFrame([(9e26,), (1.5e27,), (9e27,), (1e300,)], "n double")
+    assert [r.s for r in df.select(evaluate.humanize_bytes(F.col("n")).alias("s")).collect()] == ["900 YB", None, None, None]
+
+
 def test_report_lines(spark):
     df = spark.createDataFrame([("http_reqs", "a<b", True), ("m{x:'1'}", "p & q", False)], "m string, t string, ok boolean")
     out = df.select(evaluate.display_name(F.col("m")), evaluate.indent(F.col("m")), evaluate.junit_case(F.col("m"), F.col("t"), F.col("ok"))).collect()

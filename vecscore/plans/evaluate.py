@@ -60,10 +60,10 @@ TIME_UNITS = {"s": ("s", 0.001), "ms": ("ms", 1.0), "us": ("µs", 1000.0)}
 
 
 def humanize_bytes(n: Column) -> Column:
-    """Bytes in steps of 1000, at one decimal below ten; under ten bytes as they are."""
+    """Bytes in steps of 1000, at one decimal below ten; under ten bytes as they are. From 1e27 on no unit is left, and the result is null."""
     step = F.when(n < 10, 0).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1000.0))))
     value = F.floor(n / F.pow(F.lit(1000.0), step) * 10 + 0.5) / 10
-    unit = F.element_at(F.array(*map(F.lit, BYTE_UNITS)), (step + 1).cast("int"))
+    unit = F.get(F.array(*map(F.lit, BYTE_UNITS)), step.cast("int"))
     return F.when(n < 10, F.concat(plain(n.cast("double"), 6), F.lit(" B"))).otherwise(F.concat(F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.format_string("%d", F.floor(value + 0.5))), F.lit(" "), unit))
 
 
