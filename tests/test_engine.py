@@ -4,12 +4,13 @@ import gzip
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecscore.functions import features as feat
 from vecscore.functions.schema import DIMS, RULES
-from vecscore.operators import kmeans, knn
+from vecscore.operators import boxes, kmeans, knn
 from vecscore.operators.distance import array_distance
 from vecscore.operators.rules import with_rule
 from vecscore.plans import evaluate
@@ -142,6 +143,32 @@ def test_searches_in_many_parts(spark, monkeypatch):
     assert probed == [(n, k + 1, *b) for n, x in enumerate(values) for k, b in enumerate(best(x, [r for r in rows if r[2] == (0 if x <= 0 else 1)]))]
 
 
+def test_exact_knn_in_boxes(spark, monkeypatch):
+    """Vectors of all coordinates, with copies, ties between cells and cells of fewer than k: the rows are those of a plain search, and most pairs are left out."""
+    monkeypatch.setattr(boxes, "CELL", 8)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-3, 4, (1200, DIMS)) * np.where(np.arange(DIMS) < 3, 1000, 0) + np.where(np.arange(DIMS) == 5, rng.integers(0, 3, (1200, 1)), 0)
+    x[:200] = x[0]
+    names = [f"q{d}" for d in range(DIMS)]
+    v = spark.createDataFrame([(i, i % 3 == 0, *map(int, r)) for i, r in enumerate(x)], "vec_id bigint, is_fraud boolean, " + ", ".join(f"{c} smallint" for c in names))
+    asked = np.concatenate([x[::40], rng.integers(-5000, 5000, (20, DIMS))])
+    q = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(asked)], "query_id bigint, " + ", ".join(f"{c} smallint" for c in names))
+    got = sorted((r.query_id, r["rank"], r.distance, r.vec_id, r.is_fraud) for r in knn.exact_knn(q, v).collect())
+    want = []
+    for n, a in enumerate(asked):
+        best = sorted((int(d), i) for i, d in enumerate(((x - a) ** 2).sum(1)))[:5]
+        want += [(n, k + 1, d, i, i % 3 == 0) for k, (d, i) in enumerate(best)]
+    assert got == want
+    cuts = boxes.cuts_of(v, names)
+    own = boxes.with_cell(v, cuts, names).cache()
+    sizes = {r.cell_id: r["count"] for r in own.groupBy("cell_id").count().collect()}
+    assert len(sizes) > 50 and sum(sizes.values()) == 1200 and min(sizes.values()) < 5
+    ids, low, high = boxes.boxes_of(own, names)
+    bound = spark.createDataFrame([(i, r[2]) for i, r in enumerate(want[4:150:5])], "query_id bigint, bound bigint")
+    met = boxes.other_cells(boxes.with_cell(q, cuts, names).join(bound, "query_id"), (ids, low, high), names)
+    assert met.count() < 30 * len(sizes) / 3
+
+
 def test_searches_without_queries_or_vectors(spark):
     v, q = vectors(spark, [(0, 5, True, 0)]), queries(spark, [5])
     c = spark.createDataFrame([(0, *[0] * DIMS)], "cell_id int, " + ", ".join(f"c{d} bigint" for d in range(DIMS)))
