@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecscore.llm import exact_dedup, mixing, near_dedup, packing, quality
-from vecscore.llm.common import drop_written, written
+from vecscore.llm.common import drop_written, free_heap, written
 from vecscore.llm.queries import tokenizer_path
 
 
@@ -34,7 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. The work is the Python workers', so the heap that the stages before have grown goes first."""
+    free_heap(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_operators import BASE, SCHEMA, UPPER, brute_near, family, prose
+from vecscore.llm.common import free_heap
 
 
 def test_stages(spark, tmp_path):
@@ -28,3 +29,14 @@ def test_stages(spark, tmp_path):
     pieces = out["pack"].groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).collect()
     assert all(r["sum(length)"] == r.doc_tokens * ids["mix_sources"][r.doc_id] for r in pieces)
     assert out["mix_sources"].columns == out["quality_rules"].columns
+
+
+def test_a_grown_heap_is_given_back(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    grown = spark.sparkContext._gateway.new_array(spark._jvm.long, 100_000_000)
+    before = runtime.totalMemory()
+    assert before >= 8 * len(grown)
+    spark.sparkContext._gateway.detach(grown)
+    del grown
+    free_heap(spark)
+    assert runtime.totalMemory() <= before - 500_000_000

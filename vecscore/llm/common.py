@@ -128,3 +128,9 @@ def lean(run: Callable) -> Callable:
         let_go()
 
     return go
+
+
+def free_heap(spark: SparkSession) -> None:
+    """Have the executors' JVMs give the heap that they don't use back to the system: a heap that one stage has grown stays that large otherwise, beside the Python workers of the next. Two tasks a core, so that each executor gets some."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
