@@ -186,6 +186,23 @@ def test_line_dedup_long_runs(spark):
     assert (found[6].n_runs, found[6].longest_run) == (1, 4)
 
 
+def test_removed_lines_come_from_the_whole_suffix_array(spark, monkeypatch):
+    """The query doubles to the end, and its intervals hold what begins with the same lines."""
+    depths = []
+    whole = line_dedup.suffix_ranks
+    monkeypatch.setattr(line_dedup, "suffix_ranks", lambda lines, depth=None, settled=False: depths.append(depth) or whole(lines, depth, settled))
+    run = [f"r{k}" for k in range(9)]
+    texts = ["\n".join(t) for t in (run, ["a", *run, "b"], ["r1", "r2", "c"], run[3:], ["d", "e"], ["r1", "r2", "r3", "r5"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {k: r.n_removed for k, r in by_id(line_dedup.line_dedup(df)).items()} == {0: 0, 1: 9, 2: 0, 3: 6, 4: 0, 5: 3} and depths == [None]
+    found = line_dedup.intervals(line_dedup.line_ids(df), 3, 0).collect()
+    own = {k: t.split("\n") for k, t in enumerate(texts)}
+    prefixes = defaultdict(set)
+    for r in found:
+        prefixes[r.length, r.key].add(tuple(own[r.doc_id][r.pos : r.pos + r.length]))
+    assert all(len(p) == 1 for p in prefixes.values()) and len(prefixes) == len(set().union(*({(n, x) for x in p} for (n, _), p in prefixes.items())))
+
+
 def test_whole_suffix_order_of_lines(docs):
     lines = line_dedup.line_ids(docs)
     ranks = {(r.doc_id, r.pos): (r["rank"], r.n) for r in line_dedup.suffix_ranks(lines).collect()}

@@ -6,10 +6,10 @@ different pairs are range-partitioned and sorted, so a class as common as one li
 counts are summed before the exchange, and only one number a partition comes to the driver. Suffixes whose class is
 theirs alone have their final rank and drop out, and with them documents that have no others.
 
-Classes at depth MIN_LINES are the intervals of the suffix array whose longest common prefix is that long or longer. In
+Doubling ends when no class is divided any more, so the array is whole. Neighbours in it are then compared, and its intervals
+are those whose common prefix is MIN_LINES long or longer, or holds more than LONG_WORDS words in fewer lines. In
 each the first suffix, by document id and place, stays; the lines that the others begin with are later copies.
-Overlapping copies together are the maximal repeated runs, and these are removed. Runs of fewer lines that hold more than
-LONG_WORDS words count as well: they are grouped by their line ids themselves, as there are at most MIN_LINES - 1 of them.
+Overlapping copies together are the maximal repeated runs, and these are removed.
 
 Defined cases: lines are what stands between line feeds, lines without a word are not part of the sequence and stay; null
 text has no lines. Lines are told apart by 64-bit hashes. Ids are taken to be unique: rows that repeat one are read as one
@@ -19,6 +19,7 @@ document. A document with fewer lines and words than a run needs loses none. Ext
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,8 +61,9 @@ def starts(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return found.join(F.broadcast(base), "part").select(*keys, "n", (F.col("own") + F.col("base")).alias("start"))
 
 
-def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
-    """lines: doc_id, pos, line. doc_id, pos, rank and n, the size of the class that agrees on depth lines (None: on all lines, so the whole suffix array), of suffixes that share their class with others."""
+def suffix_ranks(lines: DataFrame, depth: int | None = None, settled: bool = False) -> DataFrame:
+    """lines: doc_id, pos, line. doc_id, pos, rank and n, the size of the class that agrees on depth lines (None: on all lines, so the whole suffix array), of suffixes that share their class with others; with settled also of those that no longer do, except in documents none of whose lines occurs again."""
+    columns, out = ["doc_id", "pos", "rank", "n"], []
     own = starts(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), ["line"])
     ranks = lines.join(own, "line").select("doc_id", "pos", F.col("start").alias("rank"), "n")
     h = 1
@@ -70,7 +72,11 @@ def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
         by = Window.partitionBy("doc_id").orderBy("pos")
         # documents all of whose suffixes are settled are no longer looked up by anyone
         live = F.max(F.col("n")).over(Window.partitionBy("doc_id")) > 1
-        ranks = written(ranks.withColumn("next", F.coalesce(F.lead("rank", shift).over(by), F.lit(-1))).withColumn("live", live).filter("live").drop("live"), "ranks")
+        ranks = ranks.withColumn("next", F.coalesce(F.lead("rank", shift).over(by), F.lit(-1))).withColumn("live", live)
+        ranks = written(ranks if settled and h > 1 else ranks.filter("live"), "ranks")
+        if settled and h > 1:
+            out.append(ranks.filter(~F.col("live")).select(*columns))
+        ranks = ranks.filter("live").drop("live")
         open_ranks = ranks.filter("n > 1")
         pairs = written(starts(open_ranks.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")), ["rank", "next"]), "pairs")
         base = pairs.groupBy("rank").agg(F.min("start").alias("base"), F.count(F.lit(1)).alias("kinds"))
@@ -80,7 +86,39 @@ def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
         moved = open_ranks.select("doc_id", "pos", "rank", "next").join(new, ["rank", "next"]).select("doc_id", "pos", F.col("to").alias("rank"), F.col("size").alias("n"))
         ranks = written(moved.unionByName(ranks.filter("n = 1").select("doc_id", "pos", "rank", "n")), "ranks")
         h += shift
-    return ranks.filter("n > 1").select("doc_id", "pos", "rank", "n")
+    if not settled:
+        return ranks.filter("n > 1").select(*columns)
+    return reduce(DataFrame.unionByName, out, ranks.select(*columns))
+
+
+def intervals(lines: DataFrame, min_lines: int, long_words: int) -> DataFrame:
+    """lines: as line_ids(). A row for each suffix, in each interval of the suffix array whose common prefix has min_lines lines, or fewer with more than long_words words: doc_id, pos, length (of the prefix), key (the interval's number among those of the length).
+
+    Neighbours in the array are compared line by line; an interval ends where they have fewer lines in common. The array is sorted in ranges, and what goes from one range to the next is its last suffix and its number of ends."""
+    at = Window.partitionBy("doc_id").orderBy("pos")
+    depths = range(1, min_lines + 1)
+    heads = [F.lead("line", k).over(at).alias(f"l{k}") if k else F.col("line").alias("l0") for k in range(min_lines)]
+    sums = [F.sum("n_words").over(at.rowsBetween(0, d - 1)).alias(f"w{d}") for d in depths]
+    rows = suffix_ranks(lines, settled=True).select("doc_id", "pos", "rank").join(lines.select("doc_id", "pos", *heads, *sums), ["doc_id", "pos"])
+    placed = written(rows.repartitionByRange("rank", "doc_id", "pos").withColumn("part", F.spark_partition_id()), "sorted")
+    head, order = F.struct(*(f"l{k}" for k in range(min_lines))), Window.partitionBy("part").orderBy("rank", "doc_id", "pos")
+    ranges = Window.orderBy("part")
+    edges = placed.groupBy("part").agg(F.max_by(head, F.struct("rank", "doc_id", "pos")).alias("last")).select("part", F.lag("last").over(ranges).alias("edge"))
+    both = placed.join(F.broadcast(edges), "part").withColumn("before", F.coalesce(F.lag(head).over(order), "edge"))
+    same, ends = F.lit(True), []
+    for d in depths:
+        same = same & F.coalesce(F.col(f"l{d - 1}") == F.col("before")[f"l{d - 1}"], F.lit(False))
+        ends.append((~same).cast("int").alias(f"end{d}"))
+    both = written(both.select("doc_id", "pos", "rank", "part", *(f"w{d}" for d in depths), *(f"l{k}" for k in range(min_lines)), *ends), "neighbours")
+    base = both.groupBy("part").agg(*[F.sum(f"end{d}").alias(f"n{d}") for d in depths])
+    base = base.select("part", *[F.coalesce(F.sum(f"n{d}").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"base{d}") for d in depths])
+    found = []
+    for d in depths:
+        number = F.sum(f"end{d}").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"base{d}")
+        counts = F.col(f"l{d - 1}").isNotNull() & (F.lit(True) if d == min_lines else F.col(f"w{d}") > long_words)
+        found.append(F.when(counts, F.struct(F.lit(d).alias("length"), number.alias("key"))))
+    found = both.join(F.broadcast(base), "part").select("doc_id", "pos", F.array_compact(F.array(*found)).alias("w"))
+    return found.select("doc_id", "pos", F.explode("w").alias("w")).select("doc_id", "pos", "w.length", "w.key")
 
 
 def later_copies(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,26 +128,9 @@ def later_copies(found: DataFrame, keys: list[str]) -> DataFrame:
     return later.select("doc_id", "pos", "length")
 
 
-def long_windows(lines: DataFrame, min_lines: int, long_words: int) -> DataFrame:
-    """lines: as line_ids(). The windows of fewer than min_lines lines that hold more than long_words words: doc_id, pos, length, key (their line ids)."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    ahead = lambda c, k: F.lead(c, k).over(by) if k else F.col(c)
-    windows = []
-    for d in range(1, min_lines):
-        total = sum((ahead("n_words", k) for k in range(1, d)), F.col("n_words"))
-        windows.append(F.when(total > long_words, F.struct(F.lit(d).alias("length"), F.array(*(ahead("line", k) for k in range(d))).alias("key"))))
-    found = lines.select("doc_id", "pos", F.array(*windows).alias("w")).select("doc_id", "pos", F.explode("w").alias("w"))
-    return found.filter("w is not null").select("doc_id", "pos", "w.length", "w.key")
-
-
 def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """The lines to remove: doc_id, runs (array of start and length, in lines with a word)."""
-    last = lines.groupBy("doc_id").agg(F.max("pos").alias("last"))
-    found = suffix_ranks(lines, min_lines).join(last, "doc_id").filter(F.col("pos") + min_lines - 1 <= F.col("last"))
-    found = written(found.select("doc_id", "pos", F.lit(min_lines).alias("length"), "rank"), "repeated")
-    later = later_copies(found, ["rank"])
-    if min_lines > 1:
-        later = later.unionByName(later_copies(written(long_windows(lines, min_lines, long_words), "long"), ["length", "key"]))
+    later = later_copies(written(intervals(lines, min_lines, long_words), "repeated"), ["length", "key"])
     by = Window.partitionBy("doc_id").orderBy("pos", "length")
     end = F.max(F.col("pos") + F.col("length"))
     later = later.withColumn("new", F.coalesce((F.col("pos") > end.over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
