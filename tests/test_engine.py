@@ -3,6 +3,7 @@
 import gzip
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -13,9 +14,9 @@ from vecscore.functions.schema import DIMS, RULES
 from vecscore.operators import boxes, kmeans, knn
 from vecscore.operators.distance import array_distance
 from vecscore.operators.rules import with_rule
-from vecscore.plans import evaluate
+from vecscore.plans import evaluate, fixtures
 from vecscore.plans.score import response_json
-from vecscore.sources import ingest
+from vecscore.sources import ingest, tables
 
 SMOKE = {
     "id": "tx-3576980410", "transaction": {"amount": 384.88, "installments": 3, "requested_at": "2026-03-11T20:23:35Z"}, "customer": {"avg_amount": 769.76, "tx_count_24h": 3, "known_merchants": ["MERC-009", "MERC-001", "MERC-001"]},
@@ -277,3 +278,31 @@ def test_evaluation_file(spark, tmp_path):
     assert [(r.position, r.id, r.expected_approved) for r in rows] == [(0, "tx-1", True), (1, "tx-2", None)]
     assert rows[0].mcc == "5411"
     assert [(r.total, r.fraud_rate, r.edge_case_rate) for r in stats.collect()] == [(2, None, 1.5)]
+
+
+def test_feature_code_is_small_enough_to_be_compiled(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fixtures.features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8000
+
+
+def test_written_tables_make_no_code_that_is_not_compiled(spark):
+    before = spark.conf.get(tables.LIMIT)
+    with tables.compiled(spark):
+        assert spark.conf.get(tables.LIMIT) == "8000"
+    with pytest.raises(ValueError), tables.compiled(spark):
+        raise ValueError
+    assert spark.conf.get(tables.LIMIT) == before
+
+
+def test_quantised_ends(spark):
+    values = [float("nan"), float("inf"), float("-inf"), 3.27675, -3.27689, 1e9, -1e9, -0.00019, None]
+    found = spark.createDataFrame([(v,) for v in values], "v float").select(ingest.quantised(F.col("v")).alias("q"))
+    assert found.schema["q"].dataType.simpleString() == "smallint"
+    assert [r.q for r in found.collect()] == [0, 32767, -32768, 32767, -32768, 32767, -32768, -1, 0]
