@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +307,25 @@ def test_quantised_ends(spark):
     found = spark.createDataFrame([(v,) for v in values], "v float").select(ingest.quantised(F.col("v")).alias("q"))
     assert found.schema["q"].dataType.simpleString() == "smallint"
     assert [r.q for r in found.collect()] == [0, 32767, -32768, 32767, -32768, 32767, -32768, -1, 0]
+
+
+def test_kept_assignment_is_written_once(spark):
+    rows = [(i, (i * i * 31) % 20011 - 10000, i % 4 == 0, 0) for i in range(300)]
+    v, c = kmeans.build(vectors(spark, rows), cells=8)
+    kept, same = kmeans.build(vectors(spark, rows), cells=8, keep=True)
+    assert sorted(kept.collect()) == sorted(v.collect()) and sorted(same.collect()) == sorted(c.collect())
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cell_finder_at_the_ends_of_16_bits_and_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centroids = rng.choice([-32768, 0, 32767], (50, DIMS))
+    centroids[7] = centroids[3]
+    x = np.concatenate([centroids[[3, 9]], rng.integers(-32768, 32768, (40, DIMS))])
+    far = ((x[:, None] - centroids[None]) ** 2).sum(2)
+    want = np.lexsort((np.broadcast_to(np.arange(50), far.shape), far), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(x[:, d].astype(np.int16)) for d in range(DIMS)], names=kmeans.Q)
+    monkeypatch.setattr(kmeans, "HELD", 150)
+    for probes in (1, 4):
+        at, distance = kmeans.cell_finder([(k, row.tolist()) for k, row in enumerate(centroids)], probes)(batch)
+        assert (at == want[:, :probes]).all() and (distance == np.take_along_axis(far, at, 1)).all()
