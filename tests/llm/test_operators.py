@@ -437,3 +437,19 @@ def test_sketches_never_miss_a_difference():
             other = np.unique(np.concatenate([base[change:], r.integers(-(1 << 62), 1 << 62, change)]))
             x, y = (near_dedup.folded(near_dedup.sketch(np.unique(v))).view(np.uint64) for v in (base, other))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(base, other))
+
+
+def test_doubling_begins_with_as_many_names_as_fit(monkeypatch):
+    ranks = np.random.default_rng(3).integers(0, 12, 400)
+    want = sorted(range(len(ranks)), key=lambda i: ranks[i:].tolist())
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(suffix_array.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    assert suffix_array._doubling(ranks).tolist() == want and len(sorts) == 1
+    assert suffix_array._doubling(np.zeros(50, np.int64)).tolist() == list(range(49, -1, -1))
+
+
+def test_names_are_compared_eight_bytes_at_a_time():
+    text = np.frombuffer(b"abcdefghijkl.abcdefghijkL.abcdefgh", np.uint8)
+    a, b, sizes = np.array([0, 0, 0, 0]), np.array([13, 13, 26, 26]), np.array([11, 12, 8, 1])
+    assert suffix_array._equal(text, a, b, sizes).tolist() == [True, False, True, True]
+    assert suffix_array._equal(text.astype(np.int64), a, b, sizes).tolist() == [True, False, True, True]

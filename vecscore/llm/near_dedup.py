@@ -64,13 +64,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The shingle hashes of texts, as sorted sets."""
 
-    def __init__(self, words: int = WORDS):
-        self.words = words
+    def __init__(self, words: int = WORDS, size: int = SLICE):
+        self.words, self.size = words, size
         self.power = self.inverse = np.ones(0, np.uint64)
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, SLICE + SLICE // 4)
+            n = max(n, self.size + self.size // 4)
             for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
                 x = np.full(n, base, np.uint64)
                 x[0] = 1
@@ -126,7 +126,7 @@ class Shingler:
         for t in texts:
             part.append(t or b"")
             size += len(part[-1]) + 1
-            if size >= SLICE:
+            if size >= self.size:
                 yield part
                 part, size = [], 0
         if part:

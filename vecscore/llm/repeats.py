@@ -40,8 +40,8 @@ from vecscore.llm.suffix_array import repeated_starts
 WINDOW, SHARD = 400, 2_000_000
 #: Passages longer than PASSAGE words are reported; a word's code has CODE bytes, none of them END.
 PASSAGE, CODE = 50, 4
-#: Bytes of text that are looked at together.
-SLICE = 1 << 20
+#: Bytes of text that are looked at together: the numbers of each place stay in a core's cache.
+SLICE = 1 << 17
 #: Ranges of the anchor's offset in a window, each with a probe.
 PROBES = 5
 END = np.uint8(255)  #: never in UTF-8
@@ -60,7 +60,7 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Like _texts(), with a code of CODE bytes for each word in place of the text."""
     codes, sizes = [], [0]
-    for value, ends in Shingler(1).words_of(column.cast(pa.binary()).to_pylist()):
+    for value, ends in Shingler(1, SLICE).words_of(column.cast(pa.binary()).to_pylist()):
         value, own = value >> np.uint64(32), np.zeros((len(value), CODE), np.uint8)
         for k in range(CODE):
             value, own[:, k] = np.divmod(value, np.uint64(END))

@@ -13,6 +13,8 @@ import numpy as np
 
 #: Entries a bucket on average, below which a reduced string is sorted by doubling.
 LEAST_BUCKET = 500
+#: Masks of the first 0 to 8 of eight bytes.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -39,6 +41,24 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, found[first], sizes, np.arange(len(keys)) - np.repeat(first, sizes)
 
 
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether text holds the same from each a and b on, over sizes places. Bytes are compared eight at a time."""
+    out = np.ones(len(a), bool)
+    live, at, step = np.arange(len(a)), 0, 1
+    if text.dtype == np.uint8:
+        step, text = 8, np.ndarray((len(text),), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+    while len(live):
+        x = text[a + at] ^ text[b + at]
+        if step > 1:
+            x &= _LOWEST[np.minimum(sizes - at, 8)]
+        equal = x == 0
+        out[live[~equal]] = False
+        at += step
+        more = equal & (sizes > at)
+        live, a, b, sizes = live[more], a[more], b[more], sizes[more]
+    return out
+
+
 def _induce(text: np.ndarray, small: np.ndarray, begins: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     n = len(text)
     out = np.full(n, -1, np.int32)
@@ -87,10 +107,15 @@ def _induce(text: np.ndarray, small: np.ndarray, begins: np.ndarray, ends: np.nd
 
 
 def _doubling(ranks: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ranks. A rank is the place of the first of its class; classes of one drop out of the sorting."""
-    n, step = len(ranks), 1
-    order = np.argsort(ranks)
-    found = ranks[order]
+    """The order of the suffixes of ranks, at first by as many ranks as 62 bits hold. A rank is the place of the first of its class; classes of one drop out of the sorting."""
+    n, bits = len(ranks), int(ranks.max() + 1).bit_length()
+    step = min(62 // bits, n)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: n - k] += ranks[k:] + 1
+    order = np.argsort(key)
+    found = key[order]
     first = np.concatenate([[True], found[1:] != found[:-1]])
     place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n, np.int64)
@@ -130,17 +155,13 @@ def suffix_array(text: np.ndarray, kinds: int = 256) -> np.ndarray:
         order = order[leftmost[order]]
         length = np.zeros(n, np.int64)
         length[seeds] = np.append(np.diff(seeds) + 1, n)
-        a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-        same = (length[a] == length[b]) & (length[a] < n)
-        live, at = np.flatnonzero(same), 0
-        while len(live):
-            equal = text[a[live] + at] == text[b[live] + at]
-            same[live[~equal]] = False
-            at += 1
-            live = live[equal]
-            live = live[length[a[live]] > at]
+        sizes = length[order]
+        same = np.flatnonzero((sizes[:-1] == sizes[1:]) & (sizes[:-1] < n))
+        same = same[_equal(text, order[same].astype(np.int64), order[same + 1].astype(np.int64), sizes[same])]
         names = np.zeros(n, np.int64)
-        names[order] = np.cumsum(np.concatenate([[0], ~same]))
+        new = np.ones(len(order), np.int64)
+        new[0], new[same + 1] = 0, 0
+        names[order] = np.cumsum(new)
         reduced = names[seeds]
         most = int(reduced.max()) + 1
         if most == len(seeds):
