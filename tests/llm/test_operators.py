@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,39 @@ def test_tokens_are_the_library_s():
     assert [a.tolist() for a in bpe.encode_batch(odd)] == [bpe.library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_tokens_of_letters_signs_and_others_mixed():
+    r = np.random.default_rng(11)
+    signs = list("aaaabcdeorstinthéüßñçœſŉ") + list(".,;$$%#*'-0129×÷ª²½µ¡…’") + ["Ä", "İ", "'s", "'ll", "e\u0301", "Σ", "日", "😀", "\xa0", "\x85", "\u2003", " ", "\n"]
+    texts = ["".join(r.choice(signs, r.integers(0, 60))) for _ in range(3000)] + ["", " ", "\n\n", "x" * 500 + "," * 500]
+    bpe = tokens.WordBpe(tokenizer_path())
+    want = [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [a.tolist() for a in bpe.encode_batch(texts)] == want
+    assert [a.tolist() for t in texts[:50] for a in bpe.encode_batch([t])] == want[:50]
+    assert bpe.encode_batch([]) == []
+
+
+def test_tokens_take_no_step_of_python_for_each_chunk():
+    r = np.random.default_rng(12)
+    chunks = list({"".join(r.choice(list("aeioubcdfglmnrst"), r.integers(4, 14))) + r.choice(["", "", ",", ".", "$$$"]) for _ in range(40_000)})
+    texts = [" ".join(chunks[k::40]) for k in range(40)]
+    bpe, calls = tokens.WordBpe(tokenizer_path()), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        found = bpe.encode_batch(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(chunks)
+    assert [a.tolist() for a in found] == [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_rounds_hold_all_rows_in_order():
+    texts = ["ab", "", "x" * 30, "", "c", "de" * 4, "f", *[""] * 7]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + len(own))), "text": own}) for k, own in ((0, texts[:4]), (4, texts[4:]))]
+    got = list(packing.rounds(iter(batches), 9, 3))
+    assert [k for names, _ in got for k in names] == list(range(14)) and [t for _, own in got for t in own] == texts
+    assert all(len(own) == 1 or len(own) <= 3 and sum(map(len, own)) <= 9 for _, own in got)
+
+
 def test_packing(docs, none):
     bpe = tokens.WordBpe(tokenizer_path())
     want = {k: [*bpe.library.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(TEXTS)}

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import kept
+from vecscore.llm.common import kept, slices
 from vecscore.llm.tokens import WordBpe
 
 WINDOW, END_ID, SHARD = 4096, 2, 4_000_000
+#: Characters of the texts whose ids are found at once, and their number.
+ROUND, TEXTS = 8_000_000, 1 << 16
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -132,6 +134,23 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[list[Piece]]
     return full + close(best_fit(rests, window), window)
 
 
+def rounds(batches: Iterator[pa.RecordBatch], most: int = ROUND, count: int = TEXTS) -> Iterator[tuple[list[int | None], list[str]]]:
+    """All ids and texts of the rows, in runs of at most so many texts, and of so many characters or a single text."""
+    names: list[int | None] = []
+    texts: list[str] = []
+    held = 0
+    for b in slices(batches, 64):
+        for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if texts and (held + len(text) > most or len(texts) == count):
+                yield names, texts
+                names, texts, held = [], [], 0
+            names.append(name)
+            texts.append(text)
+            held += len(text)
+    if texts:
+        yield names, texts
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard: int = SHARD, with_ids: bool = False) -> DataFrame:
     """A row for each piece: SCHEMA, and with with_ids its token ids (array<int>). tokenizer_path is read where the work is done and must be there."""
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
@@ -165,17 +184,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
         end = np.array([end_id], bpe.kind)
-        for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for first in range(0, len(keys), 1024):
-                found = bpe.encode_batch(texts.slice(first, 1024).to_pylist())
-                for name, own in zip(keys[first : first + 1024], found, strict=True):
-                    names.append(name)
-                    ids.append(np.concatenate([own, end]))
-                    held += len(own) + 1
-                    if held >= shard:
-                        yield flush()
-                        names, ids, held = [], [], 0
+        for keys, texts in rounds(batches):
+            for name, own in zip(keys, bpe.encode_batch(texts), strict=True):
+                names.append(name)
+                ids.append(np.concatenate([own, end]))
+                held += len(own) + 1
+                if held >= shard:
+                    yield flush()
+                    names, ids, held = [], [], 0
         if ids:
             yield flush()
 
